@@ -3,12 +3,13 @@
 Texts are cut at ASCII white space, which this kind of tokenizer always drops, so a text's
 ids are the ids of its words in order. Blocks of documents are turned into local word numbers;
 each block sends its distinct words, dealt by hash, to the tasks that encode every distinct word
-of the corpus once; the ids come back to the block and are joined by position.
+of the corpus once; the ids come back to the block and are joined by position. A block is named by
+a digest of its documents, so the two readings of the texts (for words, for numbers) agree wherever
+they run, and nothing as large as the texts is stored in between.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,8 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiremill.llm.common import materialize
-
 BLOCK_BYTES = 8 << 20
 #: Documents to a bucket of the distinct-word table; buckets grow with the input, so a bucket does not.
 DOCS_PER_BUCKET = 4000
@@ -57,8 +56,8 @@ def _unpack(b: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows of a block: its documents (bucket -1) and its distinct words by bucket."""
+def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, schema: pa.Schema, want_words: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of a block: its distinct words by bucket, or else its documents as word numbers."""
     import xxhash
     import zstandard
 
@@ -66,42 +65,38 @@ def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, schema: pa.Schema)
     numbers: dict[bytes, int] = {}
     ids: list = []
     codes: list[np.ndarray] = []
-    held = 0
+    held, digest = 0, xxhash.xxh3_128()
 
     def flush() -> pa.RecordBatch:
-        block = uuid.uuid4().hex
+        block = digest.hexdigest()
         words = list(numbers)
         bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         place = np.empty(len(words), np.uint32)
         place[order] = np.arange(len(words), dtype=np.uint32)
-        flat = place[np.concatenate(codes)] if words else np.empty(0, np.uint32)
-        used, starts = np.unique(bucket[order], return_index=True)
-        ends = np.append(starts, len(words))[1:]
-        sent = [squeeze.compress(b" ".join([words[j] for j in order[a:b]])) for a, b in zip(starts, ends, strict=True)]
-        n = len(used)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([block] * (n + 1), schema.field("block").type),
-                pa.array([-1, *used.tolist()], schema.field("bucket").type),
-                pa.array([ids] + [None] * n, schema.field("doc_ids").type),
-                pa.array([[len(c) for c in codes]] + [None] * n, schema.field("counts").type),
-                pa.array([squeeze.compress(flat.tobytes()), *sent], schema.field("payload").type),
-            ],
-            schema=schema,
-        )
+        if want_words:
+            used, starts = np.unique(bucket[order], return_index=True)
+            ends = np.append(starts, len(words))[1:]
+            sent = [squeeze.compress(b" ".join([words[j] for j in order[a:b]])) for a, b in zip(starts, ends, strict=True)]
+            columns = [[block] * len(used), used.tolist(), sent]
+        else:
+            flat = place[np.concatenate(codes)] if words else np.empty(0, np.uint32)
+            columns = [[block], [ids], [[len(c) for c in codes]], [squeeze.compress(flat.tobytes())]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     for batch in batches:
         texts = batch.column(1).cast(pa.large_binary())
         for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-            words = (text.as_py() or b"").split()
+            raw = text.as_py() or b""
+            digest.update(f"{doc_id!r} {len(raw)} ".encode() + raw)
+            words = raw.split()
             codes.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.uint32, len(words)))
             ids.append(doc_id)
-            held += 8 + len(text.as_py() or b"")
+            held += 8 + len(raw)
             if held >= BLOCK_BYTES:
                 yield flush()
                 numbers.clear()
-                ids, codes, held = [], [], 0
+                ids, codes, held, digest = [], [], 0, xxhash.xxh3_128()
     if ids:
         yield flush()
 
@@ -148,24 +143,27 @@ def decode_ids(ids: pa.ListArray, path: str) -> pa.Array:
 
 
 def _join_block(docs: pa.Table, words: pa.Table, path: str, schema: pa.Schema, decode: bool) -> pa.Table:
-    order = np.argsort(words["bucket"].to_numpy()) if len(words) else []
+    """Documents of a block (twice where a block repeats) with the ids of their words, by position."""
+    _, order = np.unique(words["bucket"].to_numpy(), return_index=True)
     sizes, payload = words["sizes"].to_pylist(), words["ids"].to_pylist()
-    lens = np.concatenate([_unpack(sizes[i], "<u4") for i in order]) if len(order) else np.empty(0, np.uint32)
-    ids = np.concatenate([_unpack(payload[i], "<u4") for i in order]) if len(order) else np.empty(0, np.uint32)
+    lens = np.concatenate([np.empty(0, np.uint32)] + [_unpack(sizes[i], "<u4") for i in order])
+    ids = np.concatenate([np.empty(0, np.uint32)] + [_unpack(payload[i], "<u4") for i in order])
     starts = np.cumsum(lens, dtype=np.int64) - lens
-    codes = _unpack(docs["payload"][0].as_py(), "<u4")
-    counts = np.array(docs["counts"][0].as_py(), np.int64)
-    # Words join their ids by position: first per word, then summed per document.
-    per_word = lens[codes] if len(codes) else np.empty(0, np.uint32)
-    flat = ids[_ranges(starts[codes], per_word)].astype(np.int32) if len(codes) else np.empty(0, np.int32)
-    before = np.concatenate([[0], np.cumsum(per_word, dtype=np.int64)])
-    ends = before[np.cumsum(counts)]
-    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-    lists = pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))
-    columns = [docs["doc_ids"].combine_chunks().flatten(), pa.array(np.diff(offsets.to_numpy()).astype(np.int64)), lists]
-    if decode:
-        columns.append(decode_ids(lists, path).cast(schema.field("decoded").type))
-    return pa.Table.from_arrays([c.cast(schema.field(i).type) for i, c in enumerate(columns)], schema=schema)
+    parts = []
+    for row in range(len(docs)):
+        codes = _unpack(docs["payload"][row].as_py(), "<u4")
+        if len(codes) and int(codes.max()) >= len(lens):
+            raise RuntimeError("the documents changed between two readings")
+        per_word = lens[codes]
+        flat = ids[_ranges(starts[codes], per_word)].astype(np.int32)
+        before = np.concatenate([[0], np.cumsum(per_word, dtype=np.int64)])
+        offsets = np.concatenate([[0], before[np.cumsum(np.array(docs["counts"][row].as_py(), np.int64))]]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+        columns = [docs["doc_ids"][row].values, pa.array(np.diff(offsets).astype(np.int64)), lists]
+        if decode:
+            columns.append(decode_ids(lists, path))
+        parts.append(pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema))
+    return pa.concat_tables(parts) if parts else schema.empty_table()
 
 
 def encode(docs: DataFrame, path: str, decode: bool = False) -> DataFrame:
@@ -180,18 +178,19 @@ def encode(docs: DataFrame, path: str, decode: bool = False) -> DataFrame:
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType
     buckets = max(12, docs.select("doc_id").count() // DOCS_PER_BUCKET)
-    cut = T.StructType([T.StructField("block", T.StringType()), T.StructField("bucket", T.IntegerType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("payload", T.BinaryType())])
-    cut_arrow = to_arrow_schema(cut)
-    blocks = materialize(docs.mapInArrow(lambda batches: _blocks(batches, buckets, cut_arrow), cut), "bpe_blocks")
-
-    sent = T.StructType([T.StructField("block", T.StringType()), T.StructField("bucket", T.IntegerType()), T.StructField("sizes", T.BinaryType()), T.StructField("ids", T.BinaryType())])
-    sent_arrow = to_arrow_schema(sent)
-    encoded = blocks.filter("bucket >= 0").select("block", "bucket", "payload").groupBy("bucket").applyInArrow(lambda t: _encode_bucket(t, path, sent_arrow), sent)
-
-    out = T.StructType([T.StructField("doc_id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.StringType())] * decode)
-    out_arrow = to_arrow_schema(out)
-    whole = blocks.filter("bucket = -1").select("block", "doc_ids", "counts", "payload")
-    return whole.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(lambda a, b: _join_block(a, b, path, out_arrow, decode), out)
+
+    def struct(*fields: tuple[str, T.DataType]) -> tuple[T.StructType, pa.Schema]:
+        kind = T.StructType([T.StructField(*f) for f in fields])
+        return kind, to_arrow_schema(kind)
+
+    asked, asked_arrow = struct(("block", T.StringType()), ("bucket", T.IntegerType()), ("payload", T.BinaryType()))
+    sent, sent_arrow = struct(("block", T.StringType()), ("bucket", T.IntegerType()), ("sizes", T.BinaryType()), ("ids", T.BinaryType()))
+    held, held_arrow = struct(("block", T.StringType()), ("doc_ids", T.ArrayType(kind)), ("counts", T.ArrayType(T.IntegerType())), ("payload", T.BinaryType()))
+    out, out_arrow = struct(("doc_id", kind), ("n_tokens", T.LongType()), ("ids", T.ArrayType(T.IntegerType())), *[("decoded", T.StringType())] * decode)
+    words = docs.mapInArrow(lambda b: _blocks(b, buckets, asked_arrow, True), asked)
+    encoded = words.groupBy("bucket").applyInArrow(lambda t: _encode_bucket(t, path, sent_arrow), sent)
+    blocks = docs.mapInArrow(lambda b: _blocks(b, buckets, held_arrow, False), held)
+    return blocks.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(lambda a, b: _join_block(a, b, path, out_arrow, decode), out)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
