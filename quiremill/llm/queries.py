@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiremill.llm import bpe, chunks, langid, lines, mixing, mpeg, neardup, tokens, toxicity
+from quiremill.llm import bpe, chunks, langid, lines, mixing, mpeg, neardup, neighbours, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), profiles).select("doc_id", (~langid.learners()).alias("held_out"), "lang_pred", "score")
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = neighbours.usable(table(spark, sf_dir, "embeddings"))
+    return neighbours.search(rows, rows.filter("vec_id % 20 = 0"), neighbours.fit(rows), 20)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     index = toxicity.fit(docs, labels.filter(toxicity.learners()))
@@ -87,6 +92,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_language_id": op4_language_id,
+    "op5_nearest": op5_nearest,
     "op6_toxicity": op6_toxicity,
     "op7_mpeg_audio": op7_mpeg_audio,
     "op8_near_dedup": op8_near_dedup,
