@@ -53,7 +53,7 @@ def attach_by_hash(rows: DataFrame, table: DataFrame, spread: Column, value: str
     total = table.agg(F.sum(count)).first()[0] or 0
     limit = max(1000, total // hot_keys)
     hot = table.filter(F.col(count) > limit).select("h1", "h2", F.col(value).alias("_hot"))
-    cold = table.filter(F.col(count) <= limit).select(F.col("h1").alias("_c1"), F.col("h2").alias("_c2"), F.col(value).alias("_cold"))
+    cold = table.filter(F.col(count) <= limit).select(F.col("h1").alias("_c1"), F.col("h2").alias("_c2"), F.col(value).alias("_cold")).hint("merge")
     marked = rows.join(F.broadcast(hot), ["h1", "h2"], "left").withColumn("_key", F.when(F.col("_hot").isNull(), F.col("h1")).otherwise(spread))
     joined = marked.join(cold, (F.col("_key") == F.col("_c1")) & (F.col("h2") == F.col("_c2")), "left")
     return joined.withColumn(value, F.coalesce("_hot", "_cold")).drop("_hot", "_cold", "_c1", "_c2", "_key")

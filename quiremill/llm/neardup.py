@@ -88,7 +88,7 @@ def _sign(batches, words: int):
             d1.append(int.from_bytes(digest[:8], "big", signed=True))
             d2.append(int.from_bytes(digest[8:], "big", signed=True))
             sig.append(signature(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "d1", "d2", "sig"])
 
 
 def _similar_rows(sigs: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
@@ -219,7 +219,7 @@ def similar_groups(classes: DataFrame) -> DataFrame:
 
     pieces = F.ceil(F.col("region_rows") / REGION_ROWS).cast("long")
     at = (F.col("h2") * (2 * DEPTH) + 1).cast("int")
-    sorted_rows = held.join(classes.select("class_id", "sig"), "class_id").select(
+    sorted_rows = held.join(classes.select("class_id", "sig").hint("merge"), "class_id").select(
         "class_id", "h1", "h2", F.pmod(F.xxhash64("class_id", "h2"), pieces).alias("piece"), F.concat(F.substr("sig", at, F.lit(24)), F.substr("sig", F.lit(1), F.lit(24))).alias("order_key")
     )
     w = Window.partitionBy("h1", "h2", "piece").orderBy("order_key", "class_id")
@@ -227,18 +227,18 @@ def similar_groups(classes: DataFrame) -> DataFrame:
     pairs = near.select("class_id", F.explode(F.array("prior", "top")).alias("other")).filter("other IS NOT NULL AND other <> class_id")
     pairs = pairs.select(F.least("class_id", "other").alias("a"), F.greatest("class_id", "other").alias("b")).distinct()
     left, right = classes.select(F.col("class_id").alias("a"), F.col("sig").alias("sig_a")), classes.select(F.col("class_id").alias("b"), F.col("sig").alias("sig_b"))
-    edges = materialize(pairs.join(left, "a").join(right, "b").mapInArrow(_agreeing, "a long, b long"), "similar_pairs")
+    edges = materialize(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").mapInArrow(_agreeing, "a long, b long"), "similar_pairs")
     first = materialize(components(edges), "groups_1")
 
     # Regions that still hold several groups: compare all of their rows, in blocks.
-    named = held.join(first, held["class_id"] == first["node"], "left").select("class_id", "h1", "h2", "region_rows", F.coalesce("root", "class_id").alias("root"))
+    named = held.join(first.hint("merge"), held["class_id"] == first["node"], "left").select("class_id", "h1", "h2", "region_rows", F.coalesce("root", "class_id").alias("root"))
     mixed = named.groupBy("h1", "h2").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi").withColumn("is_mixed", F.lit(1))
     mixed = materialize(mixed.select("h1", "h2", "n", "is_mixed"), "mixed_regions")
     open_rows = attach_by_hash(named, mixed, F.xxhash64("class_id", "h2", "h1"), "is_mixed", "n").filter("is_mixed = 1")
     block = F.pmod(F.xxhash64("class_id"), pieces)
     others = F.transform(F.sequence(F.lit(0).cast("long"), pieces - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
     dealt = open_rows.withColumn("block", block).withColumn("cell", F.explode(others)).select("h1", "h2", "cell.i", "cell.j", "class_id", "root")
-    dealt = dealt.join(classes.select("class_id", "sig"), "class_id")
+    dealt = dealt.join(classes.select("class_id", "sig").hint("merge"), "class_id")
     more = materialize(dealt.groupBy("h1", "h2", "i", "j").applyInArrow(_compare_region, "a long, b long"), "similar_pairs_2")
     stars = first.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     return materialize(components(stars.unionByName(more)), "groups_2")
@@ -255,7 +255,7 @@ def _agreeing(batches):
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, group_shingles: int = GROUP_SHINGLES, envoys: int = ENVOYS) -> DataFrame:
-    """doc_id, d1, d2 (digest of its set), n_shingles, component_id, kept for each row of docs.
+    """doc_id, text_hash, n_shingles, component_id, kept for each row of docs.
 
     Documents whose shingle sets have a Jaccard similarity of 0.75 or more are linked;
     component_id is the least doc_id reachable. A text without words has an empty set
@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, group_shingles: int = G
     Other columns are ignored. Empty input: empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(docs.mapInArrow(lambda b: _sign(b, words), "doc_id long, n_shingles long, d1 long, d2 long, sig binary"), "signatures")
+    signed = materialize(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(lambda b: _sign(b, words), "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, sig binary"), "signatures")
     classes = signed.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
     # Rows that repeat an id can head several classes: a class is named by id and digest.
     classes = materialize(classes.withColumn("doc", F.col("class_id")).withColumn("class_id", F.xxhash64("d1", "d2")), "classes")
@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, group_shingles: int = G
     members = members.join(weight, "grp").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")))
     members = materialize(members.select("grp", "blocks", "block", "class_id", "doc", "d1", "d2"), "members")
     # One text for each class: the head's, found by its id and its set's digest.
-    texts = docs.withColumnRenamed("doc_id", "doc").join(members.select("grp", "block", "class_id", "doc"), "doc")
+    texts = docs.withColumnRenamed("doc_id", "doc").join(members.select("grp", "block", "class_id", "doc").hint("merge"), "doc")
     shingled = texts.select("grp", "block", "class_id", "text").mapInArrow(lambda b: _shingle_rows(b, words), "grp long, block long, class_id long, shingles binary")
     repeated = shingled.withColumn("digest", F.sha2("shingles", 256)).dropDuplicates(["class_id", "digest"]) if _has_repeats(signed) else None
     sets = _right_sets(repeated, members, words) if repeated is not None else shingled
@@ -292,10 +292,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, group_shingles: int = G
     least = heads.groupBy("root").agg(F.min("doc").alias("component_id"))
     known = heads.join(least, "root").select(F.col("d1").alias("h1"), F.col("d2").alias("h2"), "component_id", "copies")
     known = materialize(known, "class_components")
-    rows = signed.select("doc_id", "n_shingles", F.col("d1").alias("h1"), F.col("d2").alias("h2"))
+    rows = signed.select("doc_id", "text_hash", "n_shingles", F.col("d1").alias("h1"), F.col("d2").alias("h2"))
     placed = attach_by_hash(rows, known, F.xxhash64("doc_id"), "component_id", "copies")
     own = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return placed.select("doc_id", F.col("h1").alias("d1"), F.col("h2").alias("d2"), "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return placed.select("doc_id", "text_hash", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
+    """docs with one document of each group, the least id, once. Rows of null id stay."""
+    judged = near_duplicates(docs, **params).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows"))
+    gone = judged.filter("NOT _kept OR _rows > 1")
+    marked = docs.withColumn("_h", F.xxhash64(F.col("text").cast("string")))
+    marked = marked.join(gone.hint("merge"), (F.col("doc_id").cast("long") == F.col("_d")) & (F.col("_h") == F.col("_t")), "left").filter("coalesce(_kept, true)")
+    once = marked.filter("_rows > 1").dropDuplicates(["doc_id", "_h"])
+    return marked.filter("_rows IS NULL").unionByName(once).select(*docs.columns)
 
 
 def _has_repeats(signed: DataFrame) -> bool:
