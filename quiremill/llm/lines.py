@@ -10,20 +10,22 @@ from quiremill.llm.common import SPACE, ascii_lower, attach_by_hash, materialize
 MIN_KEY_CHARS = 10
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, carry: list[str] | None = None) -> DataFrame:
     """Each document without the lines that a smaller doc_id holds too.
 
     Texts are split at \\n. A line's key is the line stripped of `[ \\t-\\r]` with A-Z
     lower-cased; keys of at least `min_chars` code points that two documents hold
     are dropped from all but the smallest doc_id. Returns doc_id, text_hash (of the
-    original text), n_lines, n_dropped, text (kept lines joined by \\n), one row per input row.
+    original text), n_lines, n_dropped, text (kept lines joined by \\n), one row per input row, and in
+    `carried` a struct of the columns named in `carry`.
 
     Null or empty text: one empty line, kept, text ''. Null doc_id: the row takes no part
     and keeps all lines. Rows that repeat a doc_id count as one document. Other columns are
     ignored, so clashing names do no harm. Empty input: empty result.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    exploded = base.filter("doc_id IS NOT NULL").select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *carried).withColumn("text_hash", F.xxhash64("text"))
+    exploded = base.drop("carried").filter("doc_id IS NOT NULL").select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     keyed = exploded.withColumn("key", F.btrim(ascii_lower(F.col("line")), F.lit(SPACE)))
     eligible = F.length("key") >= min_chars
     lines = keyed.select("doc_id", "text_hash", "pos", F.when(eligible, F.xxhash64("key")).alias("h1"), F.when(eligible, F.xxhash64(F.lit(7), "key")).alias("h2"))
@@ -34,7 +36,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
     # A bit for each position of a document that loses lines; documents that lose none send nothing.
     lost = found.filter("first_doc < doc_id").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("lost"))
     lost = lost.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "lost")
-    joined = base.join(lost, (F.col("doc_id") == F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left").drop("_d", "_t")
+    joined = base.join(lost.hint("merge"), (F.col("doc_id") == F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left").drop("_d", "_t")
     split = F.split("text", "\n", -1)
     # The runs of kept lines lie between neighbouring lost positions, so the cut is linear in the lines.
     starts = F.concat(F.array(F.lit(0)), F.transform("lost", lambda p: p + 1))
@@ -44,7 +46,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
     return (
         joined.withColumn("_lines", split)
         .withColumn("n_lines", F.size("_lines").cast("long"))
-        .select("doc_id", "text_hash", "n_lines", F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("text"))
+        .select("doc_id", "text_hash", "n_lines", F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("text"), *(["carried"] if carry else []))
     )
 
 
