@@ -205,7 +205,9 @@ def _passages(docs: pa.Table, answers: pa.Table, min_words: int) -> pa.Table:
                     if (n_words := int(word[a:b].sum())) < min_words:
                         continue
                     firsts, times = first[here[a:b]], seen[here[a:b]]
-                    row = (doc_id, key, number, int(start[a]), int(size[a:b].sum()), int(b - a), n_words, int(firsts[np.lexsort((firsts, -times))[0]]), int(times.max()), bool((firsts == doc_id).all()))
+                    heads, back = np.unique(firsts, return_inverse=True)
+                    head = int(heads[np.bincount(back, size[a:b]).argmax()])
+                    row = (doc_id, key, number, int(start[a]), int(size[a:b].sum()), int(b - a), n_words, head, int(times.max()), head == doc_id)
                     for col, x in zip(out, row, strict=True):
                         col.append(x)
                     number += 1
@@ -218,8 +220,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each passage of a document that other documents share.
 
     doc_id, text_hash, passage (number in the text, from 0), start and bytes (in its UTF-8), n_chunks, n_words,
-    first_doc_id (the least id that holds the passage's most common chunk), n_docs (how many chunks
-    like that one there are), kept (this document is first for all of the passage).
+    first_doc_id (the least id that holds a chunk, by most of the passage's bytes), n_docs (how often its most common
+    chunk occurs), kept (this document is that first one).
 
     Null ids take no part; null and empty texts have no chunk; rows that repeat an id count as one
     document for sharing, and each gives its own passages. Other columns are ignored. Empty input: empty result.

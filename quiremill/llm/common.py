@@ -22,12 +22,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def written(df: DataFrame, name: str) -> str:
+    """The path in the shared folder that df has been written to."""
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
 
 
 def ascii_lower(c: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from quiremill.llm.common import attach_by_hash, materialize
+from quiremill.llm.common import attach_by_hash, materialize, written
 from quiremill.llm.components import components
 
 WORDS = 5
@@ -338,10 +338,12 @@ def _across(sets: DataFrame, local: DataFrame, large: DataFrame, envoys: int) ->
     size = rows.groupBy("grp", "block", "label").agg(F.count("*").alias("n"))
     main = size.withColumn("r", F.row_number().over(Window.partitionBy("grp", "block").orderBy(F.desc("n"), "label"))).filter("r = 1").select("grp", "block", F.col("label").alias("main"))
     rows = rows.join(main, ["grp", "block"])
+    path = written(rows, "large_groups_marked")
+    hosts, rows = (rows.sparkSession.read.schema(rows.schema).parquet(path) for _ in range(2))
+    hosts = hosts.select("grp", "block", "label", "shingles")
     rank = F.row_number().over(Window.partitionBy("grp", "block", F.col("label") == F.col("main")).orderBy(F.xxhash64("class_id"), "class_id"))
     guests = rows.withColumn("r", rank).filter((F.col("label") != F.col("main")) | (F.col("r") <= envoys))
     guests = guests.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).filter("to <> block").select("grp", F.col("to").alias("block"), "label", "shingles")
-    hosts = rows.select("grp", "block", "label", "shingles")
     edges = materialize(hosts.groupBy("grp", "block").cogroup(guests.groupBy("grp", "block")).applyInArrow(_cross, "a long, b long"), "cross_links")
     joined = components(edges)
     roots = materialize(main.join(joined, main["main"] == joined["node"], "left").select("grp", "block", "main", F.coalesce("root", "main").alias("root")), "main_parts")

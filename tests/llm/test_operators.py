@@ -1,0 +1,502 @@
+"""Each operator against a brute-force version, and on nulls, empties, long texts, ties, repeats and clashing names."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quiremill.llm import bpe, chunks, components, langid, lines, mixing, mpeg, neardup, neighbours, queries, tokens, toxicity
+
+SPACE = " \t\n\x0b\x0c\r"
+
+
+def sha(s):
+    return hashlib.sha256(s.encode() if isinstance(s, str) else s).hexdigest()
+
+
+def rows_of(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+# 1: token counts
+
+
+def greedy(word, pieces, mark="##"):
+    if not word:
+        return 0
+    at, n = 0, 0
+    while at < len(word):
+        for end in range(len(word), at, -1):
+            if (mark if at else "") + word[at:end] in pieces:
+                at, n = end, n + 1
+                break
+        else:
+            return 1
+    return n
+
+
+def test_longest_match_equals_greedy():
+    rng = random.Random(3)
+    for _ in range(60):
+        pieces = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 12))}
+        pieces |= {"##" + "".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 12))}
+        m = tokens.LongestMatch(pieces)
+        for _ in range(150):
+            w = "".join(rng.choice("abc") for _ in range(rng.randint(0, 9)))
+            assert m.count(w) == greedy(w, pieces), (w, pieces)
+
+
+def test_token_counts_edges(edge, none):
+    got = rows_of(tokens.token_counts(edge, queries.word_bpe_path()))
+    assert len(got) == edge.count()
+    assert {r[1:] for r in got if r[0] in (1, 2, 3)} == {(0, 0)}
+    assert rows_of(tokens.token_counts(none, queries.word_bpe_path())) == []
+
+
+# 2: BPE
+
+
+def test_bpe_equals_library(edge, none):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.word_bpe_path())
+    want = Counter()
+    for r in edge.collect():
+        ids = tok.encode(r.text or "", add_special_tokens=False).ids
+        want[(r.doc_id, len(ids), sha(" ".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False)))] += 1
+    assert Counter(rows_of(queries.op2_digests(edge))) == want
+    assert rows_of(queries.op2_digests(none)) == []
+
+
+def test_decode_alone(edge):
+    path = queries.word_bpe_path()
+    both = bpe.encode(edge, path, decode=True)
+    again = bpe.decode(both.select("doc_id", "n_tokens", "ids"), path)
+    assert Counter(rows_of(again.select("doc_id", "decoded"))) == Counter(rows_of(both.select("doc_id", "decoded")))
+
+
+def test_bpe_small_blocks(spark, edge, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 50)
+    small = Counter(rows_of(queries.op2_digests(edge.coalesce(1))))
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 8 << 20)
+    assert small == Counter(rows_of(queries.op2_digests(edge)))
+
+
+# 3: chunks
+
+
+def test_chunks_cover_texts():
+    rng = np.random.default_rng(1)
+    for text in ("", "a", "é" * 1000, "日本語" * 200, "x" * 5000, "".join(map(chr, rng.integers(32, 1000, 3000)))):
+        raw = text.encode()
+        ends = chunks.chunk_ends(np.frombuffer(raw, np.uint8)).tolist()
+        assert ends == sorted(set(ends)) and (not raw or ends[-1] == len(raw))
+        for a, b in zip([0, *ends], ends):
+            raw[a:b].decode()
+            assert b - a <= chunks.MAX_BYTES + 3
+
+
+def test_shared_passages_found_and_clean_left(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    said = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    data = []
+    for i in range(60):
+        passage = said(55)
+        data += [(3 * i, f"{said(rng.randint(5, 200))} {passage} {said(90)}"), (3 * i + 1, f"{said(rng.randint(5, 200))} {passage}"), (3 * i + 2, said(200))]
+    got = chunks.repeated_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {x for x, _ in data if x % 3 < 2}
+    assert all(r.first_doc_id == r.doc_id - r.doc_id % 3 for r in got)
+    texts = dict(data)
+    for r in got:
+        part = texts[r.doc_id].encode()[r.start : r.start + r.bytes]
+        assert part in texts[r.doc_id - r.doc_id % 3 + (1 - r.doc_id % 3)].encode()
+    kept = dict(rows_of(chunks.drop_repeats(spark.createDataFrame(data, "doc_id long, text string"))))
+    assert all(kept[x] == t for x, t in data if x % 3 != 1) and all(len(kept[x]) < len(t) for x, t in data if x % 3 == 1)
+
+
+def test_chunks_edges(edge, none):
+    got = chunks.repeated_passages(edge).collect()
+    assert {r.doc_id for r in got} <= {4, 5, 6, 7, 8}
+    assert rows_of(chunks.repeated_passages(none)) == []
+    assert chunks.drop_repeats(edge).count() == edge.count()
+
+
+def test_chunk_blocks_dont_matter(spark, edge, monkeypatch):
+    docs = edge.unionByName(edge.withColumn("doc_id", F.col("doc_id") + 100))
+    whole = Counter(rows_of(chunks.repeated_passages(docs)))
+    monkeypatch.setattr(chunks, "BLOCK_BYTES", 40)
+    assert Counter(rows_of(chunks.repeated_passages(docs.coalesce(1)))) == whole
+
+
+# 4: language
+
+
+def test_language_held_out(spark):
+    rng = random.Random(2)
+    kinds = {"xx": "the of and thing with where shall", "yy": "der die und nicht werden schön über", "zz": "les des que dans être où ça"}
+    data = [(i, " ".join(rng.choice(kinds[k].split()) + rng.choice(["", "", "a"]) for _ in range(40)), k) for i, k in ((i, rng.choice(list(kinds))) for i in range(300))]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = langid.identify(docs, langid.fit(docs.filter(langid.learners()))).filter(~langid.learners()).select("lang", "lang_pred").collect()
+    assert len(got) > 40 and sum(a == b for a, b in got) >= 0.97 * len(got)
+
+
+def test_profiles_equal_plain_counts():
+    text = "Été, été là! ab"
+    grams, counts = langid.text_grams(text)
+    marked = "\0" + re.sub(r"\0+", "\0", "".join(c if c.isalpha() else "\0" for c in text.lower())).strip("\0") + "\0"
+    want = Counter()
+    for n in langid.GRAMS:
+        for i in range(len(marked) - n + 1):
+            g = marked[i : i + n]
+            if (n == 1 and g != "\0") or (n == 2 and g != "\0\0") or (n == 3 and g[1] != "\0"):
+                want[g] += 1
+    assert sorted(counts.tolist()) == sorted(want.values())
+
+
+def test_language_edges(edge, none):
+    profiles = langid.fit(edge)
+    got = langid.identify(edge, profiles)
+    assert got.columns.count("score") == 1 and got.count() == edge.count()
+    assert {(r.lang_pred, r.score) for r in got.collect() if r.doc_id in (1, 2, 3)} == {("und", 0.0)}
+    assert all(0 <= r.score <= 1 for r in got.collect())
+    assert rows_of(langid.identify(none, langid.fit(none))) == []
+    assert {r.lang_pred for r in langid.identify(edge, langid.fit(none)).collect()} == {"und"}
+
+
+# 5: neighbours
+
+
+def test_neighbours_recall_order_and_scores(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16))
+    x = centres[rng.integers(0, 12, 3000)] + 0.5 * rng.normal(size=(3000, 16))
+    x[100:140] = x[100]
+    data = [(i, [float(v) for v in np.float32(a)]) for i, a in enumerate(x)]
+    data += [(9001, None), (9002, [0.0] * 16), (9003, [float("nan")] * 16), (9004, []), (None, [1.0] * 16), (9020, [float("inf")] + [0.0] * 15)]
+    rows = neighbours.usable(spark.createDataFrame(data, "vec_id long, embedding array<float>"))
+    assert rows.count() == 3000
+    got = defaultdict(list)
+    for r in neighbours.search(rows, rows.filter("vec_id % 20 = 0"), neighbours.fit(rows)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    y = np.float32(x).astype(float)
+    found = 0
+    for q in range(0, 3000, 20):
+        s = (y[q] * y).sum(1)
+        s[q] = -np.inf
+        top = np.lexsort((np.arange(3000), -s))[:20]
+        assert len(got[q]) == 20 and all(abs(s[v] - z) < 1e-12 for v, z in got[q])
+        assert got[q] == sorted(got[q], key=lambda p: (-p[1], p[0]))
+        found += len(set(top.tolist()) & {v for v, _ in got[q]})
+    assert found >= 0.9 * 20 * 150
+
+
+def test_neighbours_edges(spark):
+    empty = neighbours.usable(spark.createDataFrame([], "vec_id long, embedding array<float>"))
+    assert neighbours.fit(empty) is None and neighbours.search(empty, empty, None).count() == 0
+    few = neighbours.usable(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [1.0, 2.0, 3.0])], "vec_id long, embedding array<float>"))
+    got = neighbours.search(few, few.filter("vec_id = 0"), neighbours.fit(few)).orderBy("rank").collect()
+    assert [(r.vec_id, r.rank) for r in got] == [(1, 1), (2, 2)]
+
+
+# 6: toxicity
+
+
+@pytest.fixture(scope="module")
+def toxic(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(3, 8))) for _ in range(500)]
+    bad = ["vileword", "nastything", "foulness"]
+    docs, labels = [], []
+    for i in range(600):
+        text = [rng.choice(vocabulary) for _ in range(rng.randint(20, 120))]
+        is_bad = rng.random() < 0.25
+        if is_bad:
+            text[rng.randrange(len(text))] = rng.choice(bad) + rng.choice(["", "", "es"])
+        docs.append((i, " ".join(text)))
+        labels.append((i, int(is_bad)))
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_toxicity_held_out(toxic):
+    docs, labels = toxic
+    index = toxicity.fit(docs, labels.filter(toxicity.learners()))
+    got = toxicity.score(docs, index).filter(~toxicity.learners()).join(labels, "doc_id").select("predicted", "toxic", "score").collect()
+    assert len(got) > 80 and sum(r.predicted == r.toxic for r in got) >= 0.97 * len(got)
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_block_max_equals_brute_force(toxic):
+    docs, labels = toxic
+    index = toxicity.fit(docs, labels)
+    rng = np.random.default_rng(3)
+    dense = np.zeros((len(index.labels), len(index.terms)))
+    for b, (slot, rows) in enumerate(index.postings):
+        part = rows[slot].T
+        dense[b * toxicity.BLOCK : (b + 1) * toxicity.BLOCK] = part[: len(dense) - b * toxicity.BLOCK]
+    for _ in range(100):
+        at, w = index.vector({int(i): int(rng.integers(1, 5)) for i in rng.choice(len(index.terms), min(4, len(index.terms)), replace=False)})
+        s = dense[:, at] @ w
+        want = np.lexsort((np.arange(len(s)), -s.round(12)))[: toxicity.NEIGHBOURS]
+        near, cosine = index.nearest(at, w)
+        assert np.allclose(cosine, s[want][: len(cosine)]) and (s[want][len(cosine) :] <= 0).all()
+
+
+def test_toxicity_edges(edge, none, spark):
+    labels = spark.createDataFrame([(4, 1), (4, 0), (None, 1), (5, None), (7, 0), (99, 1)], "doc_id long, toxic int")
+    for index in (toxicity.fit(edge, labels), toxicity.fit(none, labels), toxicity.fit(edge, labels.filter("false"))):
+        got = toxicity.score(edge, index).collect()
+        assert len(got) == edge.count() and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.score(none, index).count() == 0
+
+
+# 7: audio
+
+
+def test_audio_round_trip(edge, none):
+    got = {}
+    for r in mpeg.read_audio(mpeg.to_audio(edge.select("doc_id", mpeg.padded(F.col("text")).alias("payload")))).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for r in edge.collect():
+        raw = (r.text or "").encode()
+        raw += bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        x = got[r.doc_id][0]
+        assert bytes(x.payload) == raw and x.bad_checksums == 0 and x.resyncs == 0
+        assert x.n_frames == x.vbr_frames == -(-len(raw) // mpeg.ROOM) and x.duration_us == x.n_frames * 36_000
+        assert all(mpeg.parse_header(bytes(x.media), at) for at in x.offsets)
+    assert rows_of(mpeg.read_audio(mpeg.to_audio(none.select("doc_id", F.lit(b"").alias("payload"))))) == []
+
+
+def test_audio_damage():
+    payload = bytes(range(256)) * 40
+    whole = mpeg.write_stream(payload)
+    assert mpeg.read_stream(whole).payload == payload
+    first = mpeg.read_stream(whole).offsets
+    side = bytearray(whole)
+    side[first[2] + 8] ^= 1
+    assert mpeg.read_stream(bytes(side)).bad_checksums == 1
+    cut = whole[: first[3]] + b"junk" + whole[first[3] :]
+    s = mpeg.read_stream(cut)
+    assert s.resyncs == 1 and len(s.offsets) == len(first) and s.payload == payload
+    lost = bytearray(whole)
+    lost[first[1]] = 0
+    s = mpeg.read_stream(bytes(lost))
+    assert s.resyncs == 1 and len(s.offsets) == len(first) - 1 and s.vbr_frames == len(first)
+    assert mpeg.read_stream(None).payload == b"" and mpeg.read_stream(b"\xff\xfb\x90").offsets == []
+
+
+def test_audio_query(spark, edge, tmp_path):
+    import zlib
+
+    edge.write.parquet(str(tmp_path / "documents.parquet"))
+    by = defaultdict(set)
+    for r in queries.op7_mpeg_audio(spark, str(tmp_path)).collect():
+        by[r.doc_id].add((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32))
+    for r in edge.collect():
+        raw = (r.text or "").encode()
+        full = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        assert by[r.doc_id] == {(len(raw), len(full), sha(full), zlib.crc32(full[-64:]))}
+
+
+# 8: near duplicates
+
+
+def shingles(text):
+    ws = [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in words_of(text)]
+    return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+
+def brute_components(data):
+    sets = [(i, shingles(t)) for i, t in data if i is not None]
+    link = defaultdict(set)
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                link[a].add(b)
+                link[b].add(a)
+    least = {}
+    for a in range(len(sets)):
+        seen, queue = {a}, [a]
+        while queue:
+            for b in link[queue.pop()] - seen:
+                seen.add(b)
+                queue.append(b)
+        least.setdefault((sets[a][0], frozenset(sets[a][1])), set()).add(min(sets[b][0] for b in seen))
+    return least
+
+
+def near_data(groups=25, size=8, seed=1, words=60):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    data = []
+    for _ in range(groups):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(6, words))]
+        for _ in range(size):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 12))):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            data.append((rng.randrange(10**6), " ".join(w)))
+    return data
+
+
+def check_near(spark, data, **params):
+    got = neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), **params).collect()
+    want = brute_components(data)
+    texts = defaultdict(set)
+    for i, t in data:
+        texts[i].add(frozenset(shingles(t)))
+    seen = defaultdict(set)
+    for r in got:
+        if r.doc_id is not None:
+            seen[r.doc_id].add((r.n_shingles, r.component_id, r.kept))
+    for i, sets in texts.items():
+        if i is not None:
+            assert seen[i] == {(len(s), c, c == i) for s in sets for c in want[(i, s)]}
+    assert len(got) == len(data)
+
+
+def test_near_equals_brute_force(spark):
+    check_near(spark, near_data())
+
+
+def test_near_split_groups(spark, monkeypatch):
+    """Groups over a task's bound are split into blocks, regions into pieces; the result is the same."""
+    monkeypatch.setattr(neardup, "REGION_ROWS", 5)
+    check_near(spark, near_data(groups=3, size=60, seed=2, words=40), group_shingles=300, envoys=2)
+
+
+def test_near_many_components(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 300), (5, 5)], "a long, b long")
+    want = {i: 0 for i in range(61)} | {100: 100, 200: 100, 300: 100}
+    for one_task in (0, 10**6):
+        assert dict(rows_of(components.components(edges, one_task=one_task))) == want
+
+
+def test_near_edges(edge, none):
+    got = neardup.near_duplicates(edge).collect()
+    assert len(got) == edge.count()
+    by = {r.doc_id: r for r in got}
+    assert by[4].component_id == by[5].component_id == 4 and not by[5].kept
+    assert by[1].n_shingles == 0 and by[1].component_id == 1 and by[3].kept
+    assert by[None].component_id is None and by[None].kept
+    assert neardup.near_duplicates(none).count() == 0
+    kept = neardup.drop_near_duplicates(edge)
+    assert kept.columns == edge.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 2, 3, None, 4, 6, 7, 8]))
+
+
+# 9: lines
+
+
+def brute_lines(data):
+    key = lambda x: x.strip(SPACE).translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    first = {}
+    for i, t in data:
+        for x in (t or "").split("\n"):
+            if i is not None:
+                first[key(x)] = min(first.get(key(x), i), i)
+    out = Counter()
+    for i, t in data:
+        ls = (t or "").split("\n")
+        keep = [x for x in ls if i is None or len(key(x)) < 10 or first[key(x)] == i]
+        out[(i, len(ls), len(ls) - len(keep), "\n".join(keep))] += 1
+    return out
+
+
+def test_lines_equal_brute_force(spark, edge, none):
+    rng = random.Random(6)
+    pool = ["a line that is shared", "A line that is SHARED ", "short", "", "another of the lines\t", "ünïcode line ÄÖ", "tenletters", "nineletrs"]
+    data = [(rng.choice([None, *range(40)]), "\n".join(rng.choice(pool + [f"own line number {n}"]) for _ in range(rng.randint(0, 9)))) for n in range(120)]
+    for rows in (data, [(r.doc_id, r.text) for r in edge.collect()]):
+        got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert Counter(rows_of(got.select("doc_id", "n_lines", "n_dropped", "text"))) == brute_lines(rows)
+    assert lines.dedup_lines(none).count() == 0
+    carried = lines.dedup_lines(edge, carry=["lang", "n", "text"]).select("carried.lang", "carried.n").collect()
+    assert len(carried) == edge.count() and {r.n for r in carried} == {"x"}
+
+
+def test_lines_are_native(edge):
+    plan = lines.dedup_lines(edge)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow(?!Eval)", plan)
+
+
+def test_hot_keys_are_joined_apart(spark):
+    from quiremill.llm.common import attach_by_hash
+
+    rows = spark.range(6000).select(F.when(F.col("id") < 4000, 1).otherwise(F.col("id")).alias("h1"), F.lit(2).alias("h2"), "id")
+    table = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("v")).filter("h1 % 2 = 1")
+    got = attach_by_hash(rows, table, F.xxhash64("id"), "v", "n", hot_keys=10)
+    assert got.count() == 6000 and got.filter("h1 = 1 AND v = 0").count() == 4000 and got.filter("h1 % 2 = 0 AND v IS NULL").count() == 1000
+
+
+# 10: mixing
+
+
+def test_mixing_targets(spark):
+    rng = random.Random(7)
+    sources = ["b", "a", None, "Z", "é", "empty"]
+    data = [(i, " ".join(["w"] * (0 if s == "empty" else rng.randint(1, 40))), s) for i, s in ((i, rng.choice(sources)) for i in range(3000))]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    size = Counter()
+    for _, t, s in data:
+        size[s] += len(words_of(t))
+    order = sorted((s for s in size if s is not None)) + [None]
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    target, left, budget = {}, set(order), 1.5 * sum(size.values())
+    while True:
+        share = {s: budget * weight[s] / sum(weight[x] for x in left) for s in left}
+        over = {s for s in left if share[s] > 2 * size[s]}
+        if not over:
+            break
+        for s in over:
+            target[s] = 2.0 * size[s]
+            budget -= target[s]
+        left -= over
+    target |= share
+    got = mixing.with_copies(docs).withColumn("size", mixing.word_count(F.col("text")))
+    taken = Counter()
+    for r in got.collect():
+        assert r.source_size == size[r.source] and abs(r.target - target[r.source]) < 1e-6 * max(1, target[r.source]) and 0 <= r.n_copies <= 2
+        taken[r.source] += r.size * r.n_copies
+    assert all(abs(taken[s] - target[s]) <= 0.12 * target[s] + 1 for s in order)
+    assert sorted(rows_of(got.select("doc_id", "n_copies"))) == sorted(rows_of(mixing.with_copies(docs.repartition(7)).select("doc_id", "n_copies")))
+    assert mixing.mix(docs).count() == got.agg(F.sum("n_copies")).first()[0] and mixing.mix(docs).columns == docs.columns
+
+
+def test_mixing_edges(edge, none):
+    got = mixing.with_copies(edge)
+    assert got.count() == edge.count() and got.columns.count("rate") == 1
+    assert mixing.mix(none).count() == 0 and mixing.mix(edge).columns == edge.columns
+    assert mixing.mix(edge.withColumn("text", F.lit(None).cast("string"))).count() == 0
+
+
+# The pipeline
+
+
+def test_pipeline_stages(spark, edge, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    near = near_data(groups=10, size=3, seed=4)
+    data = [(i, t, rng.choice(["en", "de"]), rng.choice("ab"), len(t)) for i, t in near] + [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in edge.collect()]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == corpus_pipeline.COLUMNS
+    last = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
+    want = Counter(rows_of(last.select("doc_id", "n_tokens", "ids_sha256")))
+    assert Counter(rows_of(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256"))) == want and want
+    # Clean documents pass the first stage; those without letters don't.
+    first = {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert first >= {i for i, _ in near} and not first & {1, 2, 3}
+    assert corpus_pipeline.near_dedup(spark, docs, "").count() < docs.count()
