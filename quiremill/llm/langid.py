@@ -171,6 +171,7 @@ def learners() -> Column:
 
 def keep_identified(docs: DataFrame, min_score: float = KEEP_SCORE) -> DataFrame:
     """docs without the rows that have no language: no letters, or nothing like any profile."""
-    names = docs.columns
-    found = identify(docs, fit(docs.filter(learners())))
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*names)
+    packed = docs.select("text", F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"))
+    found = identify(packed, fit(docs.filter(learners())))
+    kept = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    return kept.select(*("text" if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns))

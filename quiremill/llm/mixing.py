@@ -68,9 +68,10 @@ def with_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, volume: f
 
 
 def mix(docs: DataFrame, **params) -> DataFrame:
-    """The mixed corpus: each document's rows, n_copies times, in the columns of docs."""
-    names = docs.columns
-    return with_copies(docs, **params).filter("n_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int")))).select(*names)
+    """The mixed corpus: each document's rows, n_copies times, in the columns of docs (all of them as they were)."""
+    packed = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))
+    copies = F.sequence(F.lit(1), F.col("n_copies").cast("int"))
+    return with_copies(packed, **params).filter("n_copies > 0").withColumn("_copy", F.explode(copies)).select("_row.*")
 
 
 ORACLE_SQL = r"""

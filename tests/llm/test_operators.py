@@ -169,6 +169,8 @@ def test_language_edges(edge, none):
     assert {(r.lang_pred, r.score) for r in got.collect() if r.doc_id in (1, 2, 3)} == {("und", 0.0)}
     assert all(0 <= r.score <= 1 for r in got.collect())
     assert rows_of(langid.identify(none, langid.fit(none))) == []
+    kept = langid.keep_identified(edge)
+    assert kept.columns == edge.columns and {r.score for r in kept.collect()} == {"z"} and not {1, 2, 3} & {r.doc_id for r in kept.collect()}
     assert {r.lang_pred for r in langid.identify(edge, langid.fit(none)).collect()} == {"und"}
 
 
@@ -475,6 +477,7 @@ def test_mixing_edges(edge, none):
     got = mixing.with_copies(edge)
     assert got.count() == edge.count() and got.columns.count("rate") == 1
     assert mixing.mix(none).count() == 0 and mixing.mix(edge).columns == edge.columns
+    assert {r.rate for r in mixing.mix(edge).collect()} == {"q"}  # a column of that name in docs stays
     assert mixing.mix(edge.withColumn("text", F.lit(None).cast("string"))).count() == 0
 
 
