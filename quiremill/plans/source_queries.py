@@ -73,4 +73,4 @@ def catalogue_fold_search(t):
     from quiremill.functions.text import fold_key
 
     rows = t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("tok_length"), fold_key(F.concat_ws(" ", "p_name", "p_type")).alias("key"))
-    return files.search_catalogue(rows, "Ecconomie Ring").select("id", "tok_length")
+    return files.search_catalogue(rows, "Economi Ring").select("id", "tok_length")

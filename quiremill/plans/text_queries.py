@@ -64,7 +64,7 @@ def lang_eval(t):
 
 
 @query("norm_text", "O026", r"""
-SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), chr(173) || '[ \t]*\n', '-' || chr(10), 'g'), '[\x{00AD}\x{FEFF}]', '', 'g'), '[ \t\x{00A0}]+', ' ', 'g'), ' ') AS t
+SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), chr(173) || '[ \t]*\n', '-' || chr(10), 'g'), '[\x{00AD}\x{FEFF}]', '', 'g'), '[ \t\x{00A0}]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS t
 FROM documents""")
 def norm_text(t):
     return t.documents.select("doc_id", text.norm(nfc(F.col("text"))).alias("t"))
@@ -100,7 +100,7 @@ def _fold_sql(c: str) -> str:
     s = f"regexp_replace({s}, ' (?:al|el|ibn|abu|bin)( (?:al|el|ibn|abu|bin))* ', ' ', 'g')"
     for x in "abcdefghijklmnopqrstuvwxyz":
         s = f"replace({s}, '{x}{x}', '{x}')"
-    return f"' ' || trim(translate({s}, 'eouyj', 'aaiic'), ' ') || ' '"
+    return f"' ' || trim(translate({s}, 'eoyj', 'auic'), ' ') || ' '"
 
 
 @query("fold_key", "O028", f"SELECT p_partkey, {_fold_sql('p_name')} AS k, {_fold_sql('p_type')} AS k2 FROM part")
