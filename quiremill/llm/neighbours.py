@@ -2,7 +2,7 @@
 
 A sample's nearest-neighbour graph is cut into balanced parts; a softmax classifier learns the parts; every row goes to
 its most probable part and every query visits its most probable parts, where candidates are ranked by
-the exact inner product in double precision.
+the exact inner product in double precision. The first parts visited set a bound, so the rest send little.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quiremill.llm.common import materialize
+
 #: Rows that the graph and the classifier are fitted on, at most: those with the least hash of their id.
 FIT_ROWS = 4000
 #: Rows that one part is meant for; there are as many parts as that takes, from 4 to MAX_PARTS.
@@ -23,6 +25,8 @@ GRAPH_K = 12
 #: A query visits as many parts as find this share of the sample's own neighbours, TUNE_ROWS rows asked.
 RECALL = 0.96
 TUNE_ROWS = 1500
+#: Parts that a query visits first; the others then send only what is no farther than its k-th nearest of these.
+FIRST_VISITS = 3
 #: Rows of a part that are ranked in one piece; a larger part is cut into pieces.
 PIECE_ROWS = 4000
 QUERY_ROWS = 2000
@@ -169,7 +173,7 @@ def _route(batches, router: Router, visits: bool):
             part = p.argmax(1) if len(p) else []
             ids = [*take.column(0).to_pylist(), *batch.column(0).take(pa.array(odd, pa.int64())).to_pylist()]
             vectors = pa.concat_arrays([take.column(1), batch.column(1).take(pa.array(odd, pa.int64()))])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), vectors, pa.array([*map(int, part)] + [-1] * len(odd), pa.int32())], names=["vec_id", "embedding", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), vectors, pa.array([*map(int, part)] + [-1] * len(odd), pa.int32()), pa.array([0] * len(ids), pa.int32())], names=["vec_id", "embedding", "part", "place"])
             continue
         order = np.argsort(-p, axis=1, kind="stable")
         count = min(router.visits, p.shape[1]) if len(p) else 0
@@ -177,12 +181,13 @@ def _route(batches, router: Router, visits: bool):
         part = order[:, :count].ravel() if len(p) else np.empty(0, np.int64)
         at = np.concatenate([np.array(rows, np.int64)[at] if len(p) else at, np.array(odd, np.int64)])
         part = np.concatenate([part, np.full(len(odd), -1)])
+        place = np.concatenate([np.tile(np.arange(count), len(p)), np.zeros(len(odd), np.int64)])
         taken = batch.take(pa.array(at))
-        yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(part, pa.int32())], names=["vec_id", "embedding", "part"])
+        yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(part, pa.int32()), pa.array(place, pa.int32())], names=["vec_id", "embedding", "part", "place"])
 
 
 def _rank(candidates: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    """Each query's k nearest of a piece."""
+    """Each query's k nearest of a piece, as far as they reach the query's bound."""
     out_q, out_v, out_s = [], [], []
     if len(candidates) and len(queries):
         dims = np.array([len(v) for v in candidates["embedding"].to_pylist()])
@@ -194,15 +199,18 @@ def _rank(candidates: pa.Table, queries: pa.Table, k: int) -> pa.Table:
             order = np.argsort(c["vec_id"].to_numpy(), kind="stable")
             ids, x = c["vec_id"].to_numpy()[order], _vectors(c["embedding"].combine_chunks())[order]
             q_ids, y = q["vec_id"].to_numpy(), _vectors(q["embedding"].combine_chunks())
+            bound = q["bound"].to_numpy()
             for at in range(0, len(q_ids), 256):
                 s = y[at : at + 256] @ x.T
                 s[q_ids[at : at + 256, None] == ids[None, :]] = -np.inf
                 least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -np.inf)
+                least = np.maximum(least, bound[at : at + 256])
                 for i in range(len(s)):
                     # The product only picks: those that may tie with the k-th are summed again, each in the same order.
                     slack = 1e-9 * max(1.0, abs(least[i])) if np.isfinite(least[i]) else 0.0
                     near = np.flatnonzero((s[i] >= least[i] - slack) & (s[i] > -np.inf))
                     exact = (y[at + i] * x[near]).sum(1)
+                    near, exact = near[exact >= bound[at + i]], exact[exact >= bound[at + i]]
                     order = np.lexsort((ids[near], -exact))[:k]
                     out_q += [int(q_ids[at + i])] * len(order)
                     out_v += ids[near[order]].tolist()
@@ -219,17 +227,26 @@ def search(rows: DataFrame, queries: DataFrame, router: Router | None, k: int =
     """
     if router is None:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    routed = "vec_id long, embedding array<double>, part int"
-    own = rows.distinct().mapInArrow(lambda b: _route(b, router, False), routed)
-    asked = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInArrow(lambda b: _route(b, router, True), routed)
-    # Parts larger than a piece are cut, by a count of rows, and every piece meets every query of its part.
+    routed = "vec_id long, embedding array<double>, part int, place int"
+    own = materialize(rows.distinct().mapInArrow(lambda b: _route(b, router, False), routed), "vectors_by_part").drop("place")
+    asked = materialize(queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInArrow(lambda b: _route(b, router, True), routed), "visits")
     sizes = own.groupBy("part").agg(F.ceil(F.count("*") / PIECE_ROWS).cast("int").alias("pieces"))
-    calls = asked.groupBy("part").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("groups"))
-    grid = F.broadcast(sizes.join(calls, "part"))  # a row for each part: MAX_PARTS at most
-    cells = own.join(grid, "part").withColumn("piece", F.pmod(F.xxhash64("vec_id"), "pieces").cast("int")).withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    visits = asked.join(grid, "part").withColumn("grp", F.pmod(F.xxhash64("vec_id"), "groups").cast("int")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    names = ["part", "piece", "grp"]
-    left, right = (d.select(*names, "vec_id", "embedding").groupBy(*names) for d in (cells, visits))
-    found = left.cogroup(right).applyInArrow(lambda a, b: _rank(a, b, k), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def visit(calls: DataFrame) -> DataFrame:
+        """What the parts send: each of a part's pieces meets each group of its queries once."""
+        groups = calls.groupBy("part").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("groups"))
+        grid = F.broadcast(sizes.join(groups, "part"))  # a row for each part: MAX_PARTS at most
+        cells = own.join(grid, "part").withColumn("piece", F.pmod(F.xxhash64("vec_id"), "pieces").cast("int")).withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+        guests = calls.join(grid, "part").withColumn("grp", F.pmod(F.xxhash64("vec_id"), "groups").cast("int")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        names = ["part", "piece", "grp"]
+        left, right = cells.select(*names, "vec_id", "embedding").groupBy(*names), guests.select(*names, "vec_id", "embedding", "bound").groupBy(*names)
+        found = left.cogroup(right).applyInArrow(lambda a, b: _rank(a, b, k), "query_id long, vec_id long, score double")
+        return found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+    far = F.lit(float("-inf"))
+    first = materialize(visit(asked.filter(F.col("place") < FIRST_VISITS).withColumn("bound", far)).drop("rank"), "first_found")
+    bounds = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(far).alias("_bound"))
+    later = asked.filter(F.col("place") >= FIRST_VISITS).join(bounds, "vec_id", "left").withColumn("bound", F.coalesce("_bound", far)).drop("_bound")
+    both = first.unionByName(visit(later).drop("rank")).distinct()
+    return both.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
