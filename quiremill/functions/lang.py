@@ -21,39 +21,53 @@ MORE = {
 ARABIC = r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]"
 
 
-def scores(text: Column, lists: dict[str, tuple[str, ...]]) -> dict[str, Column]:
-    """Share of a text's words that each list holds; Turkish adds half its special letters per word."""
-    found = words(text)
-    total = F.greatest(F.size(found), F.lit(1))
-    out = {}
-    for lang, known in lists.items():
-        hits = F.size(F.filter(found, _among(known)))
-        out[lang] = hits / total
-        if lang == "tr":
-            out[lang] = out[lang] + 0.5 * count_of(F.lower(text), "[çğışöü]") / total
-    return out
+def bind(c: Column, use) -> Column:
+    """use(c), with c worked out once however often use names it."""
+    return F.transform(F.array(c), use)[0]
 
 
 def _among(known: tuple[str, ...]):
     return lambda w: w.isin(*known)
 
 
-def _best(by: dict[str, Column]) -> Column:
-    top = F.greatest(*by.values())
+def measure(text: Column, lists: dict[str, tuple[str, ...]]) -> Column:
+    """A struct: letters, arabic (share of the letters), n_words, and for each list s_<lang>, the share of the words that it
+    holds; Turkish adds half its special letters per word."""
+
+    def scored(found: Column) -> Column:
+        total = F.greatest(F.size(found), F.lit(1))
+        out = [F.size(found).cast("long").alias("n_words")]
+        for lang, known in lists.items():
+            share = F.size(F.filter(found, _among(known))) / total
+            out.append((share + 0.5 * count_of(F.lower(text), "[çğışöü]") / total if lang == "tr" else share).alias(f"s_{lang}"))
+        n = letters(text)
+        return F.struct(n.alias("letters"), (count_of(text, ARABIC) / F.greatest(n, F.lit(1))).alias("arabic"), *out)
+
+    return bind(words(text), scored)
+
+
+def _best(m: Column, lists: dict[str, tuple[str, ...]]) -> Column:
+    top = F.greatest(*(m[f"s_{x}"] for x in lists))
     out = F.lit(None).cast("string")
-    for lang in reversed(by):
-        out = F.when(by[lang] == top, F.lit(lang)).otherwise(out)
+    for lang in reversed(lists):
+        out = F.when(m[f"s_{lang}"] == top, F.lit(lang)).otherwise(out)
     return out
 
 
+def pick_strict(m: Column, lists: dict[str, tuple[str, ...]] = STOPWORDS) -> Column:
+    """From a measure: null under 40 letters; ar if over 0.3 of the letters are Arabic; else the best score."""
+    return F.when(m["letters"] < 40, None).when(m["arabic"] > 0.3, "ar").otherwise(_best(m, lists))
+
+
+def pick_default(m: Column, lists: dict[str, tuple[str, ...]] = STOPWORDS, default: str = "tr", floor: float = 0.02) -> Column:
+    """From a measure: the default under 40 letters or where no score is over the floor; ar if over half the letters are Arabic."""
+    top = F.greatest(*(m[f"s_{x}"] for x in lists))
+    return F.when(m["letters"] < 40, default).when(m["arabic"] > 0.5, "ar").when(top <= floor, default).otherwise(_best(m, lists))
+
+
 def detect_strict(text: Column, lists: dict[str, tuple[str, ...]] = STOPWORDS) -> Column:
-    """Null under 40 letters; ar if over 0.3 of the letters are Arabic; else the best score."""
-    n = letters(text)
-    return F.when(n < 40, None).when(count_of(text, ARABIC) / F.greatest(n, F.lit(1)) > 0.3, "ar").otherwise(_best(scores(text, lists)))
+    return bind(measure(text, lists), lambda m: pick_strict(m, lists))
 
 
 def detect_default(text: Column, lists: dict[str, tuple[str, ...]] = STOPWORDS, default: str = "tr", floor: float = 0.02) -> Column:
-    """The default under 40 letters or where no score is over the floor; ar if over half the letters are Arabic."""
-    n = letters(text)
-    by = scores(text, lists)
-    return F.when(n < 40, default).when(count_of(text, ARABIC) / F.greatest(n, F.lit(1)) > 0.5, "ar").when(F.greatest(*by.values()) <= floor, default).otherwise(_best(by))
+    return bind(measure(text, lists), lambda m: pick_default(m, lists, default, floor))

@@ -8,6 +8,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables whose rows cost far more to work on than to move.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a table that scans in fewer tasks than there are cores is dealt out. A large one never is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """The tables of a folder, as attributes."""
 
@@ -15,7 +25,8 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(df) if name in TEXT_TABLES else df
 
 
 @dataclass

@@ -40,12 +40,9 @@ SELECT doc_id, letters::BIGINT AS letters, len(ws)::BIGINT AS n_words,
 FROM s""")
 def lang_detect(t):
     """For every document: letters, words, scores, and the language with a default."""
-    c = F.col("text")
-    by = lang.scores(c, ALL_LISTS)
-    return t.documents.select(
-        "doc_id", text.letters(c).alias("letters"), F.size(text.words(c)).cast("long").alias("n_words"),
-        *(F.round(s, 6).alias(f"score_{k}") for k, s in by.items()), lang.detect_default(c, ALL_LISTS).alias("lang_pred"),
-    )
+    m = F.col("m")
+    measured = t.documents.select("doc_id", lang.measure(F.col("text"), ALL_LISTS).alias("m"))
+    return measured.select("doc_id", m["letters"].alias("letters"), m["n_words"].alias("n_words"), *(F.round(m[f"s_{k}"], 6).alias(f"score_{k}") for k in ALL_LISTS), lang.pick_default(m, ALL_LISTS).alias("lang_pred"))
 
 
 @query("lang_strict", "O046", f"""
