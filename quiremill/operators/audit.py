@@ -1,0 +1,42 @@
+"""Marking and applying decisions: spans wrapped in a text, contents lines, page numbers, sections not read out."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def wrap_spans(text: Column, spans: Column, before: str, after: str) -> Column:
+    """text with `before` and `after` around each span (an array of structs start, size; offsets from 0). Spans that overlap one kept
+    earlier in the text are left out. A fold from the first to the last, so offsets need no correction."""
+    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
+
+    def step(a: Column, s: Column) -> Column:
+        free = s["start"] >= a["at"]
+        piece = F.substr(text, a["at"] + 1, s["start"] - a["at"])
+        word = F.substr(text, s["start"] + 1, s["size"])
+        return F.struct(F.when(free, F.concat(a["done"], piece, F.lit(before), word, F.lit(after))).otherwise(a["done"]).alias("done"), F.when(free, s["start"] + s["size"]).otherwise(a["at"]).alias("at"))
+
+    return F.aggregate(F.array_sort(spans), start, step, lambda a: F.concat(a["done"], F.substr(text, a["at"] + 1, F.length(text))))
+
+
+def contents_entries(lines: DataFrame, line: str = "line") -> DataFrame:
+    """lines that read 'title .... number' with title and no."""
+    pattern = r"^\s*(.*?)\s*\.{3,}\s*(\d{1,4})\s*$"
+    return lines.filter(F.col(line).rlike(pattern)).withColumn("title", F.regexp_extract(line, pattern, 1)).withColumn("no", F.regexp_extract(line, pattern, 2).cast("long"))
+
+
+def falling_to_null(rows: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+    """rows with `value` null where it falls below the one before while the next goes on from that: a number misread."""
+    w = Window.partitionBy(*keys).orderBy(at)
+    before, after = F.lag(value).over(w), F.lead(value).over(w)
+    return rows.withColumn(value, F.when((F.col(value) < before) & (after >= before), None).otherwise(F.col(value)))
+
+
+def unspoken(sections: DataFrame, keys: list[str], at: str, share: str, lines: str) -> DataFrame:
+    """sections with `unspoken`: at least 5 lines of which 0.7 are notes; a section of at most 6 lines between two such goes with them."""
+    w = Window.partitionBy(*keys).orderBy(at)
+    own = (F.col(lines) >= 5) & (F.col(share) >= 0.7)
+    marked = sections.withColumn("_own", own)
+    between = (F.col(lines) <= 6) & F.coalesce(F.lag("_own").over(w), F.lit(False)) & F.coalesce(F.lead("_own").over(w), F.lit(False))
+    return marked.withColumn("unspoken", F.col("_own") | between).drop("_own")

@@ -53,25 +53,36 @@ def repeated_edge_lines(t):
     return D.repeated_edges(D.pages(t.documents))
 
 
-@query("running_headers", "O077", f"""
-WITH {LINES}, m AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '\\d{{1,4}} \\p{{Lu}}\\p{{L}}+')) AS m FROM L),
-s AS (SELECT doc_id, line_no, string_split(m, ' ')[1] AS number, string_split(m, ' ')[2] AS phrase FROM m),
+_HEADED = """H AS (SELECT doc_id, 0 AS para, (doc_id % 9973)::VARCHAR || ' ' || upper(lang[1]) || lang[2:] || 'book ' || text AS text FROM documents),
+m AS (SELECT doc_id, para, unnest(regexp_extract_all(text, '\\d{1,4} \\p{Lu}\\p{L}+')) AS m FROM H),
+s AS (SELECT doc_id, para, m, string_split(m, ' ')[1] AS number, string_split(m, ' ')[2] AS phrase FROM m),
 b AS (SELECT phrase, number, count(*) AS n FROM s GROUP BY phrase, number), p AS (SELECT phrase, count(*) AS numbers, max(n) AS most FROM b GROUP BY phrase),
-h AS (SELECT phrase, count(DISTINCT (doc_id, line_no)) AS paras FROM s GROUP BY phrase)
-SELECT p.phrase, numbers, paras FROM p JOIN h ON p.phrase = h.phrase WHERE numbers >= 3 AND paras >= 3 AND most <= 2""")
+h2 AS (SELECT phrase, count(DISTINCT (doc_id, para)) AS paras FROM s GROUP BY phrase),
+heads AS (SELECT p.phrase, numbers, paras FROM p JOIN h2 ON p.phrase = h2.phrase WHERE numbers >= 3 AND paras >= 3 AND most <= 2)"""
+
+
+def _headed(t):
+    """Documents as paragraphs that a page number and a running title have got into."""
+    title = F.concat((F.col("doc_id") % 9973).cast("string"), F.lit(" "), F.initcap("lang"), F.lit("book "), "text")
+    return t.documents.select("doc_id", F.lit(0).alias("para"), title.alias("text"))
+
+
+@query("running_headers", "O077", f"WITH {_HEADED} SELECT phrase, numbers, paras FROM heads")
 def running_headers(t):
-    return D.running_headers(D.lines(t.documents), "line", "line_no")
+    return D.running_headers(_headed(t), "text", "para")
 
 
-@query("inline_header_removal", "O045")
+@query("inline_header_removal", "O045", f"""
+WITH {_HEADED}, c AS (SELECT s.doc_id, list_sort(list(DISTINCT s.m)) AS ms FROM s JOIN heads ON s.phrase = heads.phrase GROUP BY s.doc_id)
+SELECT c.doc_id, md5(trim(regexp_replace(list_reduce(list_prepend(H.text, ms), lambda a, x: replace(a, x, '')), ' +', ' ', 'g'), ' ')) AS digest FROM c JOIN H ON c.doc_id = H.doc_id""")
 def inline_header_removal(t):
-    """Numbers next to a running header's phrase leave the line with it. The headers found are few; a fold removes each document's own."""
-    ls = D.lines(t.documents)
-    heads = D.running_headers(ls, "line", "line_no").select("phrase")
-    found = ls.select("doc_id", "line_no", "line", F.explode(F.regexp_extract_all("line", F.lit(r"(\d{1,4} \p{Lu}\p{L}+)"), 1)).alias("m"))
-    cut = found.withColumn("phrase", F.split("m", " ")[1]).join(heads, "phrase").groupBy("doc_id", "line_no").agg(F.first("line").alias("line"), F.array_sort(F.collect_set("m")).alias("ms"))
-    gone = F.aggregate("ms", F.col("line"), lambda a, m: F.replace(a, m, F.lit("")))
-    return cut.select("doc_id", "line_no", F.trim(F.regexp_replace(gone, " +", " ")).alias("line"))
+    """Running titles leave the text with their numbers: each document's own marks, in one fold."""
+    ps = _headed(t)
+    heads = D.running_headers(ps, "text", "para").select("phrase")
+    found = ps.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(\d{1,4} \p{Lu}\p{L}+)"), 1)).alias("m"))
+    ms = found.withColumn("phrase", F.split("m", " ")[1]).join(heads, "phrase").groupBy("doc_id").agg(F.array_sort(F.collect_set("m")).alias("ms"))
+    gone = F.aggregate("ms", F.col("text"), lambda a, m: F.replace(a, m, F.lit("")))
+    return ps.join(ms, "doc_id").select("doc_id", F.md5(F.trim(F.regexp_replace(gone, " +", " "))).alias("digest"))
 
 
 @query("short_line_repeats", "O053", f"""

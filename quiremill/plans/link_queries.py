@@ -29,15 +29,15 @@ r AS (SELECT doc_id, page_no, line_no, unnest(range(len(ns))) AS i, unnest(ns)::
 n AS (SELECT doc_id, page_no, line_no, try_cast(regexp_extract(line, '^(\d{1,2})', 1) AS BIGINT) AS no FROM P WHERE regexp_matches(line, '^\d'))"""
 
 
-@query("note_link_equi", "O064", f"""
-WITH {PAGES}, {_REFS}, j AS (SELECT r.doc_id, r.page_no, r.no, r.line_no AS ref_line, n.line_no AS note_line,
-  row_number() OVER (PARTITION BY n.doc_id, n.page_no, n.no, n.line_no ORDER BY r.line_no, r.i) AS k FROM r JOIN n ON r.doc_id = n.doc_id AND r.page_no = n.page_no AND r.no = n.no)
-SELECT doc_id, page_no, no, ref_line, note_line FROM j WHERE k = 1""")
+@query("note_link_equi", "O064", """
+WITH r AS (SELECT l_orderkey AS page, l_linenumber AS no, l_partkey AS pos, l_suppkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS k FROM lineitem)
+SELECT page, no, pos AS ref_pos, o_custkey AS note_id FROM r JOIN orders ON page = o_orderkey AND no = o_custkey % 7 + 1 WHERE k = 1""")
 def note_link_equi(t):
-    refs, notes = _refs_notes(t)
-    j = refs.withColumnRenamed("line_no", "ref_line").join(notes.select("doc_id", "page_no", "no", F.col("line_no").alias("note_line")), ["doc_id", "page_no", "no"])
-    w = Window.partitionBy("doc_id", "page_no", "no", "note_line").orderBy("ref_line", "i")
-    return j.withColumn("k", F.row_number().over(w)).filter("k = 1").select("doc_id", "page_no", "no", "ref_line", "note_line")
+    """Notes (here: orders, each with a number) to the first reference of their number on their page (line items)."""
+    r = t.lineitem.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("no"), F.struct(F.col("l_partkey").alias("pos"), "l_suppkey").alias("r"))
+    first = r.groupBy("page", "no").agg(F.min("r").alias("r"))
+    notes = t.orders.select(F.col("o_orderkey").alias("page"), (F.col("o_custkey") % 7 + 1).cast("int").alias("no"), F.col("o_custkey").alias("note_id"))
+    return first.join(notes, ["page", "no"]).select("page", "no", F.col("r.pos").alias("ref_pos"), "note_id")
 
 
 @query("note_orphans", "O072", f"""
@@ -52,10 +52,10 @@ def note_orphans(t):
 
 @query("note_link_lifo", "O065")
 def note_link_lifo(t):
-    """Nearest open reference before each note, with the document's gates lowered to what these texts hold."""
-    refs, notes = _refs_notes(t)
-    marks = refs.select("doc_id", (F.col("line_no") * 1000 + F.col("i")).alias("pos"), "no", F.lit("ref").alias("kind")).unionByName(notes.select("doc_id", (F.col("line_no") * 1000).alias("pos"), "no", F.lit("note").alias("kind")))
-    return links.link_lifo(marks, least=1, share=0.5)
+    """Nearest open reference (here: a view) of its number before each note (a purchase) of a user."""
+    kind = F.when(F.col("event_type") == "view", "ref").when(F.col("event_type") == "purchase", "note")
+    marks = t.events.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("pos"), (F.floor("value") % 3).alias("no"), kind.alias("kind")).filter("kind IS NOT NULL")
+    return links.link_lifo(marks, least=10, share=0.6)
 
 
 @query("asof_backward", "O065, O092", """
