@@ -40,3 +40,18 @@ def unspoken(sections: DataFrame, keys: list[str], at: str, share: str, lines: s
     marked = sections.withColumn("_own", own)
     between = (F.col(lines) <= 6) & F.coalesce(F.lag("_own").over(w), F.lit(False)) & F.coalesce(F.lead("_own").over(w), F.lit(False))
     return marked.withColumn("unspoken", F.col("_own") | between).drop("_own")
+
+
+def ruled_lines(rows: DataFrame, keys: list[str], y: str, ink: str, least: float = 0.85) -> DataFrame:
+    """Pixel rows that are ruled lines: inked over the share, with rows above and below that are nearly blank."""
+    w = Window.partitionBy(*keys).orderBy(y)
+    above, below = F.coalesce(F.lag(ink).over(w), F.lit(0.0)), F.coalesce(F.lead(ink).over(w), F.lit(0.0))
+    return rows.withColumn("_above", above).withColumn("_below", below).filter((F.col(ink) >= least) & (F.col("_above") < 0.5) & (F.col("_below") < 0.5)).drop("_above", "_below")
+
+
+def stages(jobs: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
+    """jobs with `stage`: the first step, in order, whose condition isn't met yet; 'done' when all are."""
+    out = F.lit("done")
+    for name, met in reversed(steps):
+        out = F.when(~met, F.lit(name)).otherwise(out)
+    return jobs.withColumn("stage", out)

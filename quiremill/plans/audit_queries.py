@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quiremill.functions import text as tx
 from quiremill.functions.lang import STOPWORDS
 from quiremill.operators import audit
 from quiremill.operators import documents as D
 from quiremill.plans.registry import LINES, WORDS, query
+from quiremill.sinks.covers import make_cover
 
 _EN = ", ".join(f"'{w}'" for w in STOPWORDS["en"])
 
@@ -112,3 +115,30 @@ def doc_report(t):
         F.count("*").alias("n_lines"), F.count_if(c.rlike(r"^\d")).alias("note_like"), F.count_if((solid >= 8) & (tx.letters(c) < 0.6 * solid)).alias("suspicious"),
         F.max(F.length(c)).cast("long").alias("longest"), F.count_if((F.length(c) <= 60) & c.rlike(r"^\p{Lu}")).alias("heading_like"))
     return a.join(t.documents.select("doc_id", "lang"), "doc_id").select("doc_id", "lang", "n_lines", "note_like", "suspicious", "longest", "heading_like")
+
+
+@query("ruled_lines", "O009, O093", """
+WITH p AS (SELECT l_suppkey, l_quantity, avg(CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0.0 END) AS ink FROM lineitem GROUP BY ALL),
+n AS (SELECT *, coalesce(lag(ink) OVER w, 0) AS a, coalesce(lead(ink) OVER w, 0) AS b FROM p WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_quantity))
+SELECT l_suppkey, l_quantity, round(ink, 6) AS ink FROM n WHERE ink >= 0.6 AND a < 0.5 AND b < 0.5""")
+def ruled_lines(t):
+    p = t.lineitem.groupBy("l_suppkey", "l_quantity").agg(F.avg(F.when(F.col("l_returnflag") == "N", 1.0).otherwise(0.0)).alias("ink"))
+    return audit.ruled_lines(p, ["l_suppkey"], "l_quantity", "ink", 0.6).withColumn("ink", F.round("ink", 6))
+
+
+@query("stage_pipeline", "O109, O122", """
+WITH j AS (SELECT conv_id, count(*) AS parts, count(*) FILTER (WHERE role = 'assistant') AS made, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id)
+SELECT conv_id, parts, made, chars, CASE WHEN NOT chars > 200 THEN 'detect' WHEN NOT made * 2 >= parts THEN 'produce' WHEN NOT parts >= 4 THEN 'publish' ELSE 'done' END AS stage FROM j""")
+def stage_pipeline(t):
+    j = t.conversations.groupBy("conv_id").agg(F.count("*").alias("parts"), F.count_if(F.col("role") == "assistant").alias("made"), F.sum(F.length("text")).alias("chars"))
+    return audit.stages(j, [("detect", F.col("chars") > 200), ("produce", F.col("made") * 2 >= F.col("parts")), ("publish", F.col("parts") >= 4)])
+
+
+@query("covers", "O010")
+def covers(t):
+    """A made cover for each part: size and digest of its bytes."""
+    @F.pandas_udf(T.BinaryType())
+    def made(title: pd.Series, author: pd.Series) -> pd.Series:
+        return pd.Series([make_cover(a or "", b or "") for a, b in zip(title, author, strict=True)])
+
+    return t.part.select("p_partkey", made("p_name", "p_brand").alias("png")).select("p_partkey", F.octet_length("png").cast("long").alias("size"), F.md5("png").alias("digest"))

@@ -196,7 +196,7 @@ def size_queue(t):
     return t.documents.select("doc_id", "n_chars", F.row_number().over(Window.partitionBy("source").orderBy("n_chars", "doc_id")).cast("long").alias("turn"))
 
 
-@query("job_parts", "O015, O106", """
+@query("job_parts", "O015, O106, O121, O122, O123", """
 SELECT conv_id AS job_id, max(turn) AS last_idx, count(*) AS parts, count(*) FILTER (WHERE role = 'user') AS pending, coalesce(sum(length(text)) FILTER (WHERE role <> 'user'), 0)::BIGINT AS done_chars FROM conversations GROUP BY conv_id""")
 def job_parts(t):
     u = F.col("role") == "user"

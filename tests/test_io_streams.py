@@ -106,3 +106,35 @@ def test_quota_day_is_local(spark):
     rows = [("m", "2024-03-10 07:59:59"), ("m", "2024-03-10 08:00:00"), ("m", "2024-03-11 06:59:59"), ("m", "2024-03-11 07:00:00")]
     df = spark.createDataFrame(rows, "model string, ts string").withColumn("ts", F.to_timestamp("ts"))
     assert sorted((r.day, r.n) for r in rates.quota_day(df, "model", "ts").collect()) == [("2024-03-09", 1), ("2024-03-10", 2), ("2024-03-11", 1)]
+
+
+def test_covers():
+    import numpy as np
+
+    from quiremill.sinks import covers
+
+    one = covers.make_cover("A Title", "Me")
+    assert one[:8] == b"\x89PNG\r\n\x1a\n" and one == covers.make_cover("A Title", "Me") != covers.make_cover("B", "Me")
+    assert not covers.has_contrast(np.full((9, 9), 250)) and covers.has_contrast(np.arange(81).reshape(9, 9) * 3)
+
+
+def test_spans_and_stages(spark):
+    from quiremill.operators import audit
+
+    df = spark.createDataFrame([("abcdefgh", [(5, 2), (1, 2), (2, 3)]), ("xy", [])], "c string, s array<struct<start:int,size:int>>")
+    assert [r[0] for r in df.select(audit.wrap_spans(F.col("c"), F.col("s"), "<", ">")).collect()] == ["a<bc>de<fg>h", "xy"]
+    rows = spark.createDataFrame([(1, y, i) for y, i in enumerate([0.1, 0.9, 0.0, 0.9, 0.9, 0.0])], "k long, y long, ink double")
+    assert [r.y for r in audit.ruled_lines(rows, ["k"], "y", "ink").collect()] == [1]
+    no = spark.createDataFrame([(1, i, n) for i, n in enumerate([5, 3, 7, 6, 5])], "k long, at long, n long")
+    assert [r.n for r in audit.falling_to_null(no, ["k"], "at", "n").orderBy("at").collect()] == [5, None, 7, 6, 5]
+
+
+def test_names_dont_collide():
+    import importlib.util
+
+    from quiremill.plans import ALL
+
+    if importlib.util.find_spec("quiremill.llm"):
+        from quiremill.llm.queries import QUERIES
+
+        assert not set(ALL) & set(QUERIES)
