@@ -1,0 +1,60 @@
+"""What of a line is read out: citations, index lines, unvowelled Arabic and recognition residue stay silent."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quiremill.functions.lang import ARABIC
+from quiremill.functions.text import collapse_repeats, count_of, letters
+
+_SPAN = re.compile(r"\s*(?:\(([^()\n]{1,300})\)|\[([^\[\]\n]{1,300})\])")
+_CUE = re.compile(r"(?i)(?:^|[\s,;.])(?:s|p|pp|bkz|bk|krş|c|cilt|vol|sayfa|sahife|page|dipnot|note|no|âyet|ayet|sûre|sure|hadis|ibid|op|cf|see)\.?(?=\s|\d|$)")
+_VERSE = re.compile(r"\b\d{1,3}\s*[:/]\s*\d{1,3}\b")
+_PAGES = re.compile(r",\s*[IVXLC]*\s*\d{1,4}(?:\s*[-–]\s*\d{1,4})?\s*$")
+_YEARS = re.compile(r"\s*(?:[öÖdD]\.\s*|ca?\.\s*)?\d{3,4}\s*(?:[-–/]\s*\d{2,4})?\s*(?:[mhMH]\.)?\s*")
+_VALUE = re.compile(r"\s*[%$€£]?\s*[\d.,]+\s*(?:%|kg|km|m|cm|mm|g|lira|dolar|euro|yıl|gün|saat|years?|days?|hours?)?\s*")
+PROSE_WORDS = 8
+
+
+def is_citation(inside: str) -> bool:
+    """Whether a bracket's content names a source: it cites a page, verse or note. Dates, values and long prose do not."""
+    if _YEARS.fullmatch(inside) or _VALUE.fullmatch(inside):
+        return False
+    if len([w for w in inside.split() if any(c.isalpha() for c in w)]) > PROSE_WORDS and not _PAGES.search(inside):
+        return False
+    has_number = any(c.isdigit() for c in inside)
+    return bool((has_number and (_CUE.search(inside) or _VERSE.search(inside) or _PAGES.search(inside))) or re.fullmatch(r"(?i)\s*(?:ibid|a\.g\.e|op\. cit|loc\. cit)\.?\s*", inside))
+
+
+def without_citations(line: str) -> str:
+    """The line without its citations in brackets; a line that has none is returned as it is."""
+    out = _SPAN.sub(lambda m: "" if is_citation(m[1] or m[2]) else m[0], line)
+    return line if out == line else re.sub(r" +([.,;:!?])", r"\1", out).strip()
+
+
+@F.pandas_udf(T.StringType())
+def strip_citations(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: x if x is None or ("(" not in x and "[" not in x) else without_citations(x))
+
+
+def is_index_line(c: Column) -> Column:
+    """Five numbers or more that make up 0.6 of the tokens."""
+    numbers = count_of(c, r"(?:^|\s)\d{1,5}[,.;…]*(?=\s|$)")
+    return (numbers >= 5) & (numbers >= 0.6 * count_of(c, r"\S+"))
+
+
+def is_silent_arabic(c: Column) -> Column:
+    """Mostly Arabic (6 letters, 0.6 of all, 3 words) without vowel marks (under 0.05), and no two Latin words beside it."""
+    arabic = count_of(c, ARABIC)
+    return (arabic >= 6) & (arabic >= 0.6 * letters(c)) & (count_of(c, r"[\x{0621}-\x{064A}\x{0671}-\x{06D3}]{2,}") >= 3) & (count_of(c, r"[A-Za-zÇĞİÖŞÜçğıöşüâîûÂÎÛ]{3,}") < 2) & (count_of(c, r"[\x{064B}-\x{0652}]") < 0.05 * arabic)
+
+
+def spoken(c: Column) -> Column:
+    """The line as read out; null where nothing is."""
+    said = collapse_repeats(strip_citations(c))
+    return F.when(is_index_line(c) | is_silent_arabic(c) | ~said.rlike(r"[\p{L}\p{N}]"), None).otherwise(said)

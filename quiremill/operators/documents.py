@@ -60,6 +60,25 @@ def pack(lines_: Column, size: int = 3000) -> Column:
     return F.aggregate(kept, start, step, lambda a: F.when(F.size(a["cur"]) > 0, F.array_append(a["done"], F.array_join(a["cur"], "\n"))).otherwise(a["done"]))
 
 
+def pack_flagged(lines_: Column, size: int = 15_000) -> Column:
+    """Greedy chunks of an array of structs (text, flag): a chunk also closes where the flag changes. Structs (flag, text) come back."""
+    start = F.struct(F.array().cast("array<struct<flag:boolean,text:string>>").alias("done"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("n"), F.lit(False).alias("flag"))
+
+    def closed(a: Column) -> Column:
+        return F.array_append(a["done"], F.struct(a["flag"].alias("flag"), F.array_join(a["cur"], "\n").alias("text")))
+
+    def step(a: Column, x: Column) -> Column:
+        full = (F.size(a["cur"]) > 0) & ((a["n"] + F.length(x["text"]) > size) | (x["flag"] != a["flag"]))
+        return F.struct(
+            F.when(full, closed(a)).otherwise(a["done"]).alias("done"),
+            F.when(full, F.array(x["text"])).otherwise(F.array_append(a["cur"], x["text"])).alias("cur"),
+            F.when(full, F.length(x["text"]) + 1).otherwise(a["n"] + F.length(x["text"]) + 1).alias("n"),
+            x["flag"].alias("flag"),
+        )
+
+    return F.aggregate(lines_, start, step, lambda a: F.when(F.size(a["cur"]) > 0, closed(a)).otherwise(a["done"]))
+
+
 def repeated_edges(paged: DataFrame, share: float = 0.3, least: int = 3) -> DataFrame:
     """doc_id, key, n, pages: first or last lines of pages that, without digits, come back on enough pages."""
     w = Window.partitionBy("doc_id", "page_no")

@@ -106,6 +106,13 @@ def repair_words(words: DataFrame, lexicon: DataFrame, swaps: list[tuple[str, st
     return best.filter(second.isNull() | (first["k"] <= 3 * second["k"])).select("word", first["fix"].alias("fix"), (-first["k"]).alias("n"))
 
 
+def repair_by_skeleton(words: DataFrame, lexicon: DataFrame, skeleton) -> DataFrame:
+    """word, fix, n: for words outside the lexicon, the most frequent word of it with the same skeleton (letters without their marks)."""
+    bad = words.select("word").distinct().join(lexicon.select("word"), "word", "left_anti").withColumn("skeleton", skeleton(F.col("word")))
+    best = lexicon.groupBy(skeleton(F.col("word")).alias("skeleton")).agg(F.min(F.struct((-F.col("n")).alias("k"), F.col("word").alias("fix"))).alias("b"))
+    return bad.join(best, "skeleton").select("word", F.col("b.fix").alias("fix"), (-F.col("b.k")).alias("n"))
+
+
 def merge_split_words(lines: DataFrame, lexicon: DataFrame) -> DataFrame:
     """doc_id, line_no, pos, joined: neighbours of which one is no word while both together are one."""
     toks = lines.select("doc_id", "line_no", F.posexplode(F.regexp_extract_all(F.lower("line"), F.lit(r"(\p{L}+)"), 1)).alias("pos", "word"))

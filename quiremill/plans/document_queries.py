@@ -338,3 +338,42 @@ def spoken_filter(t):
     said = F.trim(F.regexp_replace(F.regexp_replace(c, r"\s*[\(\[][^()\[\]]*\d[^()\[\]]*[\)\]]", ""), r"^\d+[.)] *", ""))
     k = D.lines(t.documents).filter(~index).select("doc_id", "line_no", said.alias("line")).filter(c.rlike(r"\p{L}"))
     return k.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")).alias("digest"))
+
+
+@query("spoken_lines", "O043, O125")
+def spoken_lines(t):
+    """The full reading filter, line by line: bracketed citations are judged one by one, beyond SQL; tests hold its cases."""
+    from quiremill.functions.spoken import spoken
+
+    return D.lines(t.documents).select("doc_id", "line_no", spoken(F.col("line")).alias("said")).filter("said IS NOT NULL")
+
+
+@query("chunk_sections", "O091, O052", r"""
+WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+c(doc_id, ls, i, part, n, flag) AS (
+  SELECT doc_id, ls, 1, 1, length(ls[1]) + 1, regexp_matches(lower(ls[1]), 'license|copyright|\d{3}') FROM l
+  UNION ALL
+  SELECT doc_id, ls, i + 1, CASE WHEN n + length(ls[i + 1]) > 15000 OR regexp_matches(lower(ls[i + 1]), 'license|copyright|\d{3}') <> flag THEN part + 1 ELSE part END,
+    CASE WHEN n + length(ls[i + 1]) > 15000 OR regexp_matches(lower(ls[i + 1]), 'license|copyright|\d{3}') <> flag THEN length(ls[i + 1]) + 1 ELSE n + length(ls[i + 1]) + 1 END,
+    regexp_matches(lower(ls[i + 1]), 'license|copyright|\d{3}')
+  FROM c WHERE i < len(ls))
+SELECT doc_id, part::BIGINT AS part, bool_or(flag) AS silent, md5(string_agg(ls[i], chr(10) ORDER BY i)) AS digest FROM c GROUP BY doc_id, part""".replace("\\\\", "\\"))
+def chunk_sections(t):
+    """Chunks of 15,000 characters that also end where lines to be left silent begin or end."""
+    marked = F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("text"), F.lower(x).rlike(r"license|copyright|\d{3}").alias("flag")))
+    parts = t.documents.select("doc_id", F.posexplode(D.pack_flagged(marked)).alias("i", "c"))
+    return parts.select("doc_id", (F.col("i") + 1).cast("long").alias("part"), F.col("c.flag").alias("silent"), F.md5("c.text").alias("digest"))
+
+
+@query("broken_layer", "O007, O082", r"""
+WITH d AS (SELECT doc_id, len(regexp_extract_all(text, '\p{L}')) AS letters, greatest(1, len(regexp_extract_all(text, '\p{L}+'))) AS words,
+  len(list_filter(regexp_extract_all(lower(text), '\p{L}+'), lambda w: w IN ('der','die','und','le','la','et','el','de','que'))) AS stops, len(regexp_extract_all(lower(text), '[äöüßéèêçñáíóú]')) AS special,
+  len(regexp_extract_all(text, '[|~^%&$#*]{2,}')) AS junk FROM documents)
+SELECT doc_id, letters >= 800 AND ((stops > 0.03 * words AND special < 0.015 * letters) OR junk > 0.03 * words) AS broken, letters::BIGINT AS letters FROM d""".replace("\\\\", "\\"))
+def broken_layer(t):
+    """A text layer to be read anew: function words of a language with marks but hardly any marked letters, or junk."""
+    c = F.col("text")
+    stops = F.size(F.filter(tx.words(c), lambda w: w.isin("der", "die", "und", "le", "la", "et", "el", "de", "que")))
+    d = t.documents.select("doc_id", tx.letters(c).alias("letters"), F.greatest(F.lit(1), tx.count_of(c, tx.WORD)).alias("words"), stops.alias("stops"), tx.count_of(F.lower(c), "[äöüßéèêçñáíóú]").alias("special"), tx.count_of(c, r"[|~^%&$#*]{2,}").alias("junk"))
+    bad = ((F.col("stops") > 0.03 * F.col("words")) & (F.col("special") < 0.015 * F.col("letters"))) | (F.col("junk") > 0.03 * F.col("words"))
+    return d.select("doc_id", ((F.col("letters") >= 800) & bad).alias("broken"), "letters")

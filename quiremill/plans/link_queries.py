@@ -247,6 +247,16 @@ def confusion_repair(t):
     return links.repair_words(D.tokens(t.documents), D.lexicon(t.documents), [("rn", "m"), ("l", "i"), ("e", "c"), ("h", "b"), ("ou", "o")])
 
 
+@query("letter_repair", "O035", f"""
+WITH {WORDS}, lex AS (SELECT word, count(DISTINCT doc_id) AS n FROM W GROUP BY word HAVING count(DISTINCT doc_id) >= 3),
+bad AS (SELECT DISTINCT word, translate(word, '{tx.ACCENTED}', '{tx.PLAIN}') AS sk FROM W WHERE word NOT IN (SELECT word FROM lex)),
+r AS (SELECT translate(word, '{tx.ACCENTED}', '{tx.PLAIN}') AS sk, word AS fix, n, row_number() OVER (PARTITION BY translate(word, '{tx.ACCENTED}', '{tx.PLAIN}') ORDER BY n DESC, word) AS k FROM lex)
+SELECT bad.word, fix, n FROM bad JOIN r ON bad.sk = r.sk WHERE k = 1""")
+def letter_repair(t):
+    """Words whose letters have lost or gained marks, by skeleton."""
+    return links.repair_by_skeleton(D.tokens(t.documents), D.lexicon(t.documents), lambda c: F.translate(c, tx.ACCENTED, tx.PLAIN))
+
+
 @query("spelling_guard", "O036", f"""
 WITH {WORDS}, k AS (SELECT doc_id, word, count(*) AS n FROM W GROUP BY doc_id, word)
 SELECT a.doc_id, a.word, a.n, coalesce(b.n, 0)::BIGINT AS other, a.n >= 2 AND b.n IS NULL AS keep FROM k a LEFT JOIN k b ON a.doc_id = b.doc_id AND b.word = replace(a.word, 'ou', 'o') WHERE contains(a.word, 'ou')""")

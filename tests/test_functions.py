@@ -59,3 +59,25 @@ def test_word_changes(spark):
     df = spark.createDataFrame([("a b c d", "a x c d"), ("same text", "same text"), (None, "new")], "a string, b string")
     got = [[tuple(x) for x in r[0]] for r in df.select(udfs.word_changes("a", "b")).collect()]
     assert got == [[("replace", "b", "x", 1)], [], [("insert", "", "new", 0)]]
+
+
+SAID = [
+    ("It was said (Smith, Works, 45) once.", "It was said once."),
+    ("As told (s. 12) and [bkz. c. 2, s. 14] here.", "As told and here."),
+    ("The verse (2:255) is known.", "The verse is known."),
+    ("He lived (1201-1274) long.", "He lived (1201-1274) long."),
+    ("It cost (25 lira) then.", "It cost (25 lira) then."),
+    ("They (who had come from far beyond the 3 hills and rivers) slept.", "They (who had come from far beyond the 3 hills and rivers) slept."),
+    ("Plain line.", "Plain line."),
+    ("go go go go go home", "go home"),
+    ("Name 12, 45, 67, 89, 101, 204", None),
+    ("بسم الله الرحمن الرحيم وصلى الله", None),
+    ("--- ***", None),
+]
+
+
+@pytest.mark.parametrize("before, after", SAID)
+def test_spoken(spark, before, after):
+    from quiremill.functions.spoken import spoken
+
+    assert spark.createDataFrame([(before,)], "c string").select(spoken(F.col("c"))).first()[0] == after
