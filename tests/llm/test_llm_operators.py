@@ -492,10 +492,21 @@ def test_pipeline_stages(spark, edge, tmp_path):
     data = [(i, t, rng.choice(["en", "de"]), rng.choice("ab"), len(t)) for i, t in near] + [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in edge.collect()]
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    now = docs
+    now, seen = docs, []
     for _, stage in corpus_pipeline.STAGES[:-1]:
         now = stage(spark, now, str(tmp_path))
         assert now.columns == corpus_pipeline.COLUMNS
+        seen.append([tuple(r) for r in now.collect()])
+    by_language, by_lines, by_near, mixed = seen
+    # Each stage against brute force on what the one before kept.
+    profiles = langid.fit(docs.filter(langid.learners()))
+    assert Counter(by_language) == Counter(r for r in data if profiles.predict(r[1])[0] != "und" and profiles.predict(r[1])[1] >= langid.KEEP_SCORE)
+    assert Counter((i, t) for i, t, *_ in by_lines) == Counter({(i, t): n for (i, _, _, t), n in brute_lines([r[:2] for r in by_language]).items()}) and all(r[4] == len(r[1]) for r in by_lines)
+    least = brute_components([r[:2] for r in by_lines])
+    assert set(by_near) == {r for r in by_lines if r[0] is None or r[0] in least[(r[0], frozenset(shingles(r[1])))]}
+    rates = {r.source: r.rate for r in mixing.source_rates(spark.createDataFrame(by_near, docs.schema)).collect()}
+    draw = lambda i: int(hashlib.md5(f"{mixing.SEED}|{'' if i is None else i}".encode()).hexdigest()[:13], 16) / 16**13
+    assert Counter(mixed) == Counter({r: int(rates[r[3]]) + (draw(r[0]) < rates[r[3]] % 1) for r in by_near})
     last = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
     want = Counter(rows_of(last.select("doc_id", "n_tokens", "ids_sha256")))
     assert Counter(rows_of(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256"))) == want and want
