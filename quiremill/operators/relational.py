@@ -70,3 +70,36 @@ def islands(rows: DataFrame, keys: list[str], at: str, gap: float, tie: list[str
 
 def top_k(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).filter(F.col("rank") <= k)
+
+
+def rank_by_bucket(rows: DataFrame, keys: list[str], bucket: Column, order: list[str], name: str = "rank") -> DataFrame:
+    """rows with their place (from 1) in their keys' order, where `bucket` rises with the order.
+
+    A key may hold any share of all rows: only a bucket's rows are sorted together, and the buckets' counts, a small
+    table, give each its offset.
+    """
+    marked = rows.withColumn("_bucket", bucket)
+    w = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = marked.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
+    return marked.withColumn("_in", inside).join(counts, [*keys, "_bucket"]).withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_bucket", "_before", "_in")
+
+
+def middle_pair(rows: DataFrame, keys: list[str], value: str, width: float) -> DataFrame:
+    """keys, lower and upper: the two middle values of each group (equal if its size is odd), by counts of buckets of `width`: only
+    the rows of the buckets that hold them are sorted."""
+    bucket = F.floor(F.col(value) / width)
+    counts = rows.groupBy(*keys, bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.sum("_n").over(Window.partitionBy(*keys))
+    placed = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).withColumn("_total", whole)
+    lo, hi = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
+
+    def holds(p: Column) -> Column:
+        return (F.col("_before") <= p) & (p < F.col("_before") + F.col("_n"))
+
+    picked = placed.filter(holds(lo) | holds(hi)).select(*keys, "_bucket", "_before", lo.alias("_lo"), hi.alias("_hi"))
+    inside = rows.select(*keys, value).withColumn("_bucket", bucket).join(picked, [*keys, "_bucket"])
+    at = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(value)) - 1 + F.col("_before")
+    two = inside.withColumn("_at", at).filter((F.col("_at") == F.col("_lo")) | (F.col("_at") == F.col("_hi")))
+    return two.groupBy(*keys).agg(F.min(value).alias("lower"), F.max(value).alias("upper"))

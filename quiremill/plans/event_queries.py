@@ -141,15 +141,11 @@ def local_mode(t):
 
 
 @query("medians", "O079, O059", """
-SELECT l_returnflag, l_linestatus, median(l_extendedprice) AS middle, list_sort(list(l_extendedprice))[len(list(l_extendedprice)) // 2 + 1] AS upper FROM lineitem GROUP BY ALL""".replace("AS upper", 'AS "upper"'))
+SELECT l_returnflag, l_linestatus, round(median(l_extendedprice), 4) AS middle, list_sort(list(l_extendedprice))[len(list(l_extendedprice)) // 2 + 1] AS upper FROM lineitem GROUP BY ALL""".replace("AS upper", 'AS "upper"'))
 def medians(t):
-    """Two medians: of the middle pair's mean, and the upper of the pair. Both from one sort of values, without collecting a group."""
-    li = t.lineitem.select("l_returnflag", "l_linestatus", "l_extendedprice")
-    n = li.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.median("l_extendedprice").alias("middle"))
-    counted = li.groupBy("l_returnflag", "l_linestatus", "l_extendedprice").agg(F.count("*").alias("c"))
-    run = F.sum("c").over(Window.partitionBy("l_returnflag", "l_linestatus").orderBy("l_extendedprice"))
-    upper = counted.withColumn("run", run).join(n, ["l_returnflag", "l_linestatus"]).filter(F.col("run") > F.floor(F.col("n") / 2))
-    return upper.groupBy("l_returnflag", "l_linestatus").agg(F.max("middle").alias("middle"), F.min("l_extendedprice").alias("upper"))
+    """Two medians: the mean of the middle pair, and the upper of the pair."""
+    pair = R.middle_pair(t.lineitem, ["l_returnflag", "l_linestatus"], "l_extendedprice", 500.0)
+    return pair.select("l_returnflag", "l_linestatus", F.round((F.col("lower") + F.col("upper")) / 2, 4).alias("middle"), "upper")
 
 
 @query("margin_series_gate", "O094", """
@@ -193,7 +189,9 @@ def page_jumps(t):
 
 @query("size_queue", "O102", "SELECT doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS turn FROM documents")
 def size_queue(t):
-    return t.documents.select("doc_id", "n_chars", F.row_number().over(Window.partitionBy("source").orderBy("n_chars", "doc_id")).cast("long").alias("turn"))
+    """Shortest first within a source, by buckets of length: no source's rows meet in one task."""
+    rows = t.documents.select("doc_id", "source", "n_chars")
+    return R.rank_by_bucket(rows, ["source"], F.floor(F.col("n_chars") / 256), ["n_chars", "doc_id"], "turn").select("doc_id", "n_chars", "turn")
 
 
 @query("job_parts", "O015, O106, O121, O122, O123", """

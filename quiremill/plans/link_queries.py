@@ -70,14 +70,14 @@ def asof_backward(t):
 
 @query("range_match", "O066, O067", """
 WITH s AS (SELECT user_id, event_id AS span_id, epoch_us(ts) // 1000000 AS lo, epoch_us(ts) // 1000000 + 3600 AS hi FROM events WHERE event_type = 'signup')
-SELECT s.span_id, count(*) AS n, sum(e.value) AS total FROM (SELECT user_id, epoch_us(ts) // 1000000 AS sec, value FROM events WHERE event_type = 'click') e
+SELECT s.span_id, count(*) AS n, round(sum(e.value), 4) AS total FROM (SELECT user_id, epoch_us(ts) // 1000000 AS sec, value FROM events WHERE event_type = 'click') e
 JOIN s ON e.user_id = s.user_id AND e.sec BETWEEN s.lo AND s.hi GROUP BY s.span_id""")
 def range_match(t):
     """Clicks within an hour after a sign-up."""
     sec = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
     s = t.events.filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("span_id"), sec.alias("lo"), (sec + 3600).alias("hi"))
     p = t.events.filter("event_type = 'click'").select("user_id", sec.alias("sec"), "value")
-    return R.range_join(p, s, ["user_id"], "sec", "lo", "hi", 3600).groupBy("span_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return R.range_join(p, s, ["user_id"], "sec", "lo", "hi", 3600).groupBy("span_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("interval_merge", "O067, O006, O074", """

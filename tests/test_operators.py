@@ -141,3 +141,15 @@ def test_islands_and_edit_state(spark):
     assert [r.island for r in R.islands(df, ["k"], "at", 3).orderBy("at").collect()] == [1, 1, 2, 2, 3]
     e = spark.createDataFrame([(1, "old", 1, 1), (1, "new", 2, 2), (2, "only", 1, 3)], "b long, value string, ts long, seq long")
     assert sorted(tuple(r) for r in D.edit_state(e, ["b"]).collect()) == [(1, "new", "old"), (2, "only", None)]
+
+
+def test_ranks_and_medians_by_buckets(spark):
+    rng = random.Random(6)
+    data = [(rng.randint(0, 3), i, float(rng.randint(0, 300))) for i in range(700)]
+    df = spark.createDataFrame(data, "k long, id long, v double")
+    got = {r.id: r.rank for r in R.rank_by_bucket(df, ["k"], F.floor(F.col("v") / 50), ["v", "id"]).collect()}
+    pairs = {r.k: (r.lower, r.upper) for r in R.middle_pair(df, ["k"], "v", 20.0).collect()}
+    for k in range(4):
+        mine = sorted((v, i) for j, i, v in data if j == k)
+        assert [got[i] for _, i in mine] == list(range(1, len(mine) + 1))
+        assert pairs[k] == (mine[(len(mine) - 1) // 2][0], mine[len(mine) // 2][0])
