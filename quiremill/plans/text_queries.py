@@ -85,9 +85,6 @@ def title_case_names(t):
     return t.customer.select("c_custkey", text.title_case(name).alias("name"))
 
 
-_FOLD = r"""lower(translate({c}, 'İI', 'ii'))"""
-
-
 def _fold_sql(c: str) -> str:
     s = f"translate(lower(translate({c}, 'İI', 'ii')), '{text.ACCENTED}', '{text.PLAIN}')"
     for a, b in (("sh", "s"), ("th", "s"), ("kh", "h"), ("dh", "z"), ("gh", "g"), ("ch", "c")):
