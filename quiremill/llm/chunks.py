@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quiremill.llm.common import raw_texts, release_memory
+
 WINDOW = 16
 CUT_BITS = 4
 MIN_BYTES = 14
 MAX_BYTES = 256
 #: A passage of 50 words or more holds whole chunks of 20 words but for one case in thousands.
 MIN_WORDS = 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 DOCS_PER_BUCKET = 4000
 
 _GEAR = np.random.default_rng(977).integers(0, 2**32, 256, dtype=np.uint32)
@@ -137,14 +139,14 @@ def _blocks(batches, buckets: int, ask: bool):
         return pa.RecordBatch.from_arrays([pa.array([block] * len(used)), pa.array(used.astype(np.int32)), pa.array(payload, pa.binary())], names=["block", "bucket", "payload"])
 
     for batch in batches:
-        for doc_id, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()), strict=True):
-            raw = text.as_py() or b""
+        for doc_id, key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)), strict=True):
             name.update(f"{doc_id} {len(raw)} ".encode() + raw)
             rows.append((doc_id, key, raw))
             held += 8 + len(raw)
             if held >= BLOCK_BYTES:
                 yield flush()
                 rows, held, name = [], 0, xxhash.xxh3_128()
+        release_memory()
     if rows:
         yield flush()
 
@@ -169,6 +171,7 @@ def _share(table: pa.Table) -> pa.Table:
     for i in range(len(blocks)):
         mine = hit[owner[hit] == i] if len(blocks) < 8 else hit[np.searchsorted(owner[hit], i) : np.searchsorted(owner[hit], i, "right")]
         out.append(_pack(local[mine].astype(np.int64), lo[place[mine]], total[place[mine]]))
+    release_memory()
     return pa.table({"block": table["block"].combine_chunks(), "bucket": table["bucket"].combine_chunks(), "size": pa.array(sizes, pa.int64()), "payload": pa.array(out, pa.binary())})
 
 
@@ -212,6 +215,7 @@ def _passages(docs: pa.Table, answers: pa.Table, min_words: int) -> pa.Table:
                         col.append(x)
                     number += 1
             at += count
+    release_memory()
     names = [f.split()[0] for f in PASSAGE.split(", ")]
     return pa.table({n: pa.array(c, pa.bool_() if n == "kept" else pa.int64()) for n, c in zip(names, out, strict=True)})
 

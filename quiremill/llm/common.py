@@ -34,6 +34,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
 
 
+def raw_texts(column):
+    """The UTF-8 bytes of an Arrow string column's values, one by one, null as empty: no second copy of the column."""
+    for x in column:
+        yield x.as_buffer().to_pybytes() if x.is_valid else b""
+
+
+def release_memory() -> None:
+    """Give what Arrow has freed back to the system: a worker's idle memory counts against its executor."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, UPPER, LOWER)
