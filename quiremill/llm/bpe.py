@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quiremill.llm.common import raw_texts, release_memory
+
 BLOCK_BYTES = 8 << 20
 #: Documents to a bucket of the distinct-word table; buckets grow with the input, so a bucket does not.
 DOCS_PER_BUCKET = 4000
@@ -85,9 +87,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, schema: pa.Schema,
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     for batch in batches:
-        texts = batch.column(1).cast(pa.large_binary())
-        for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-            raw = text.as_py() or b""
+        for doc_id, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
             digest.update(f"{doc_id!r} {len(raw)} ".encode() + raw)
             words = raw.split()
             codes.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.uint32, len(words)))
@@ -97,6 +97,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], buckets: int, schema: pa.Schema,
                 yield flush()
                 numbers.clear()
                 ids, codes, held, digest = [], [], 0, xxhash.xxh3_128()
+        release_memory()
     if ids:
         yield flush()
 
@@ -120,6 +121,7 @@ def _encode_bucket(table: pa.Table, path: str, schema: pa.Schema) -> pa.Table:
         rows = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
         payload.append(_pack(ids[_ranges(starts[rows], lens[rows])]))
         sizes.append(_pack(lens[rows]))
+    release_memory()
     return pa.Table.from_arrays([table["block"].combine_chunks(), table["bucket"].combine_chunks(), pa.array(sizes, pa.binary()), pa.array(payload, pa.binary())], schema=schema)
 
 
@@ -163,6 +165,7 @@ def _join_block(docs: pa.Table, words: pa.Table, path: str, schema: pa.Schema, d
         if decode:
             columns.append(decode_ids(lists, path))
         parts.append(pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema))
+    release_memory()
     return pa.concat_tables(parts) if parts else schema.empty_table()
 
 

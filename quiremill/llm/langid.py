@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quiremill.llm.common import release_memory
+
 GRAMS = (1, 2, 3)
 PROFILE = 400
 #: Labelled rows of a language that its profile is fitted on, at most: picked by a hash of the id.
@@ -155,8 +157,9 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     def run(batches):
         known = shared.value
         for batch in batches:
-            got = [known.predict(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            got = [known.predict(t.as_py()) for t in batch.column(batch.schema.get_field_index("text"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            release_memory()
 
     from pyspark.sql import types as T
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quiremill.llm.common import attach_by_hash, materialize, written
+from quiremill.llm.common import attach_by_hash, materialize, raw_texts, release_memory, written
 from quiremill.llm.components import components
 
 WORDS = 5
@@ -78,16 +78,16 @@ def _sign(batches, words: int):
     import xxhash
 
     for batch in batches:
-        texts = batch.column(1).cast(pa.large_binary())
         n, d1, d2, sig = [], [], [], []
-        for t in texts:
-            s = shingle_set(t.as_py(), words)
+        for raw in raw_texts(batch.column(1)):
+            s = shingle_set(raw, words)
             n.append(len(s))
             digest = xxhash.xxh3_128_digest(s.tobytes())
             d1.append(int.from_bytes(digest[:8], "big", signed=True))
             d2.append(int.from_bytes(digest[8:], "big", signed=True))
             sig.append(signature(s).tobytes() if len(s) else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "d1", "d2", "sig"])
+        release_memory()
 
 
 def _similar_rows(sigs: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
@@ -205,7 +205,8 @@ def _shingle_rows(batches, words: int):
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array([shingle_set(t.as_py(), words).tobytes() for t in part.column(3).cast(pa.large_binary())], pa.binary())], names=["grp", "block", "class_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array([shingle_set(raw, words).tobytes() for raw in raw_texts(part.column(3))], pa.binary())], names=["grp", "block", "class_id", "shingles"])
+        release_memory()
 
 
 def similar_groups(classes: DataFrame) -> DataFrame:
