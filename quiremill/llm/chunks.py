@@ -2,14 +2,16 @@
 
 A gear hash rolls over each text's bytes; a chunk ends where the hash of the last WINDOW bytes
 has CUT_BITS zero bits, so ends depend on the text around them alone and an insertion shifts no other
-chunk. Chunks are compared by digest. Neighbouring shared chunks of a document form passages, and
-passages of at least MIN_WORDS words are its repeats. Blocks of documents send their distinct digests,
+chunk. Chunks are compared by digest. Neighbouring shared chunks of a document form runs; runs of at least
+MIN_WORDS words, split where the first holder changes, are its repeats. Blocks of documents send their distinct digests,
 dealt by hash, to the tasks that count them over the corpus, and get back which are shared; a block is named by a
 digest of its documents, so both readings of the texts agree.
 """
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -175,6 +177,73 @@ def _share(table: pa.Table) -> pa.Table:
     return pa.table({"block": table["block"].combine_chunks(), "bucket": table["bucket"].combine_chunks(), "size": pa.array(sizes, pa.int64()), "payload": pa.array(out, pa.binary())})
 
 
+def _join_short(firsts: np.ndarray, size: np.ndarray, word: np.ndarray, min_words: int) -> list[tuple[int, int, int]]:
+    """Stretches of chunks as (from, to, holder): one for each first holder in turn, but one under min_words words joins its longer
+    neighbour, shortest first. The holder is that of most bytes, ties to the least."""
+    at = np.flatnonzero(np.diff(firsts, prepend=firsts[0] - 1))
+    head, end = firsts[at].tolist(), [*at[1:].tolist(), len(firsts)]
+    at, words = at.tolist(), np.add.reduceat(word, at).tolist()
+    held = [{h: b} for h, b in zip(head, np.add.reduceat(size, at).tolist(), strict=True)]
+    before, after = list(range(-1, len(at) - 1)), [*range(1, len(at)), -1]
+    live = [True] * len(at)
+
+    def join(i: int, j: int) -> None:
+        """j, which comes after i, becomes part of it."""
+        few, many = sorted((held[i], held[j]), key=len)
+        best = head[i] if many is held[i] else head[j]
+        for h, b in few.items():
+            many[h] = many.get(h, 0) + b
+            best = max(best, h, key=lambda x: (many[x], -x))
+        held[i], head[i], end[i] = many, best, end[j]
+        words[i] += words[j]
+        live[j], after[i] = False, after[j]
+        if after[j] >= 0:
+            before[after[j]] = i
+
+    heap = [(w, i) for i, w in enumerate(words) if w < min_words]
+    heapify(heap)
+    while heap:
+        w, i = heappop(heap)
+        if not live[i] or words[i] != w or (before[i] < 0 and after[i] < 0):
+            continue
+        if after[i] < 0 or (before[i] >= 0 and words[before[i]] >= words[after[i]]):
+            i = before[i]
+        join(i, after[i])
+        while after[i] >= 0 and head[after[i]] == head[i]:
+            join(i, after[i])
+        while before[i] >= 0 and head[before[i]] == head[i]:
+            i = before[i]
+            join(i, after[i])
+        if words[i] < min_words:
+            heappush(heap, (words[i], i))
+    return [(at[i], end[i], head[i]) for i in range(len(at)) if live[i]]
+
+
+def _by_holder(firsts: np.ndarray, size: np.ndarray, word: np.ndarray, doc_id: int, min_words: int) -> list[tuple[int, int, int]]:
+    """A run of shared chunks split by first holder, as (from, to, holder).
+
+    A piece is the document's own, or all of it is held by earlier documents. Chunks of earlier ones that have under min_words
+    words together, and fewer than the document's own chunks beside them, stay in its own piece. The pieces cover the run but for
+    own ones under min_words words beside others.
+    """
+    if (firsts == firsts[0]).all():
+        return [(0, len(firsts), int(firsts[0]))]
+    own = firsts == doc_id
+    at = np.flatnonzero(np.diff(own, prepend=~own[:1]))
+    words = np.add.reduceat(word, at)
+    beside = np.append(words[1:], 0) + np.append(0, words[:-1])
+    mine = own[at] | ((words < min_words) & (words < beside))
+    own = np.repeat(mine, np.diff(np.append(at, len(own))))
+    at = np.flatnonzero(np.diff(own, prepend=~own[:1])).tolist()
+    out = []
+    for a, b in zip(at, [*at[1:], len(own)], strict=True):
+        if own[a]:
+            out += [(a, b, doc_id)] if b - a == len(own) or word[a:b].sum() >= min_words else []
+        else:
+            out += [(a + x, a + y, h) for x, y, h in _join_short(firsts[a:b], size[a:b], word[a:b], min_words)]
+    return out
+
+
 PASSAGE = "doc_id long, text_hash long, passage long, start long, bytes long, n_chunks long, n_words long, first_doc_id long, n_docs long, kept boolean"
 
 
@@ -205,15 +274,14 @@ def _passages(docs: pa.Table, answers: pa.Table, min_words: int) -> pa.Table:
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], held.view(np.int8), [0]])))
                 number = 0
                 for a, b in edge.reshape(-1, 2):
-                    if (n_words := int(word[a:b].sum())) < min_words:
+                    if int(word[a:b].sum()) < min_words:
                         continue
-                    firsts, times = first[here[a:b]], seen[here[a:b]]
-                    heads, back = np.unique(firsts, return_inverse=True)
-                    head = int(heads[np.bincount(back, size[a:b]).argmax()])
-                    row = (doc_id, key, number, int(start[a]), int(size[a:b].sum()), int(b - a), n_words, head, int(times.max()), head == doc_id)
-                    for col, x in zip(out, row, strict=True):
-                        col.append(x)
-                    number += 1
+                    for c, d, head in _by_holder(first[here[a:b]], size[a:b], word[a:b], doc_id, min_words):
+                        c, d = a + c, a + d
+                        row = (doc_id, key, number, int(start[c]), int(size[c:d].sum()), d - c, int(word[c:d].sum()), head, int(seen[here[c:d]].max()), head == doc_id)
+                        for col, x in zip(out, row, strict=True):
+                            col.append(x)
+                        number += 1
             at += count
     release_memory()
     names = [f.split()[0] for f in PASSAGE.split(", ")]
@@ -227,6 +295,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     first_doc_id (the least id that holds a chunk, by most of the passage's bytes), n_docs (how often its most common
     chunk occurs), kept (this document is that first one).
 
+    Runs of shared chunks have min_words words or more and are split where the first holder changes, so a repeat of an earlier
+    document inside a longer shared run is a passage of its own. Shorter stretches of earlier documents join their neighbours;
+    every chunk of a passage that is not kept has an earlier holder. Under min_words words of the document's own beside these are no passage.
+
     Null ids take no part; null and empty texts have no chunk; rows that repeat an id count as one
     document for sharing, and each gives its own passages. Other columns are ignored. Empty input: empty result.
     """

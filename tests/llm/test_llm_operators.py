@@ -123,6 +123,53 @@ def test_shared_passages_found_and_clean_left(spark):
     assert all(kept[x] == t for x, t in data if x % 3 != 1) and all(len(kept[x]) < len(t) for x, t in data if x % 3 == 1)
 
 
+def test_passages_have_one_first_holder(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    said = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    inside, left, right = said(55), said(60), said(60)
+    copied = f"{said(150)} {inside} {said(150)}"
+    touching = f"{said(100)} {left} {right} {said(100)}"
+    data = [(1, f"{said(40)} {inside} {said(40)}"), (2, f"{said(40)} {left} {said(40)}"), (3, f"{said(40)} {right} {said(40)}"), (5, copied), (9, copied), (12, touching), (15, touching)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = chunks.repeated_passages(docs).collect()
+    links = {(r.doc_id, r.first_doc_id) for r in got if r.first_doc_id != r.doc_id}
+    assert links == {(5, 1), (9, 1), (9, 5), (12, 2), (12, 3), (15, 2), (15, 3), (15, 12)}
+    texts = dict(data)
+    for r in got:
+        assert r.kept == (r.first_doc_id == r.doc_id)
+    for d, passage in ((5, inside), (9, inside), (12, left), (12, right)):
+        at = texts[d].index(passage)
+        assert any(r.start < at + len(passage) and at < r.start + r.bytes and r.n_words >= 20 and not r.kept for r in got if r.doc_id == d)
+    kept = dict(rows_of(chunks.drop_repeats(docs)))
+    for d, parts in ((5, (inside,)), (12, (left, right))):
+        assert all(p[len(p) // 3 : 2 * len(p) // 3] not in kept[d] for p in parts)
+        assert texts[d].split()[:90] == kept[d].split()[:90] and texts[d].split()[-90:] == kept[d].split()[-90:]
+
+
+def test_runs_are_split_by_holder():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        firsts = np.repeat(rng.integers(0, 4, n), rng.integers(1, 9, n))[:n]
+        word, size = rng.integers(0, 12, n), rng.integers(14, 60, n)
+        got = chunks._by_holder(firsts, size, word, 3, 20)
+        covered = [any(a <= i < b for a, b, _ in got) for i in range(n)]
+        assert sum(b - a for a, b, _ in got) == sum(covered) > 0
+        left = np.array([0] + [0 if c else int(w) for c, w in zip(covered, word, strict=True)])
+        gap = np.split(left[1:], np.flatnonzero(covered))
+        assert all(g.sum() < 20 for g in gap)
+        for a, b, head in got:
+            assert head == 3 or (firsts[a:b] != 3).all()
+            held = [int(size[a:b][firsts[a:b] == h].sum()) for h in range(3)]
+            assert head == 3 or head == held.index(max(held))
+    # Every stretch long enough on its own stays a passage; a short one joins.
+    split = lambda firsts, words: chunks._by_holder(np.array(firsts), np.full(len(firsts), 40), np.array(words), 5, 20)
+    assert split([5, 1, 2, 5], [30, 25, 25, 3]) == [(0, 1, 5), (1, 2, 1), (2, 3, 2)]
+    assert split([1, 1, 0, 1, 1], [8, 8, 5, 8, 8]) == [(0, 5, 1)]
+    assert split([5, 1, 5], [30, 8, 30]) == [(0, 3, 5)]
+
+
 def test_chunks_edges(edge, none):
     got = chunks.repeated_passages(edge).collect()
     assert {r.doc_id for r in got} <= {4, 5, 6, 7, 8}
