@@ -22,7 +22,8 @@ FIT_ROWS = 4000
 PART_ROWS = 400
 MAX_PARTS = 256
 GRAPH_K = 12
-#: A query visits as many parts as find this share of the sample's own neighbours, TUNE_ROWS rows asked.
+#: A query visits as many parts as find this share of the neighbours, in the sample, of rows that nothing was fitted on:
+#: TUNE_ROWS of them, or a quarter of the sample where that is less.
 RECALL = 0.96
 TUNE_ROWS = 1500
 #: Parts that a query visits first; the others then send only what is no farther than its k-th nearest of these.
@@ -50,13 +51,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def neighbour_graph(x: np.ndarray, k: int = GRAPH_K) -> np.ndarray:
-    """Numbers of each row's k nearest others by inner product, ties to the smaller number."""
+def neighbour_graph(x: np.ndarray, k: int = GRAPH_K, rows: int | None = None) -> np.ndarray:
+    """Numbers of each row's (or the first rows') k nearest others by inner product, ties to the smaller number."""
     n = len(x)
-    k = min(k, n - 1)
-    out = np.empty((n, k), np.int64)
-    for at in range(0, n, 500):
-        s = x[at : at + 500] @ x.T
+    k, rows = min(k, n - 1), n if rows is None else rows
+    out = np.empty((rows, k), np.int64)
+    for at in range(0, rows, 500):
+        s = x[at : min(at + 500, rows)] @ x.T
         s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
         out[at : at + 500] = np.argsort(-s, axis=1, kind="stable")[:, :k]
     return out
@@ -130,33 +131,41 @@ def usable(rows: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, part_rows: int = PART_ROWS) -> Router | None:
-    """A router fitted on at most fit_rows usable rows of the most common dimension; None where there are none."""
+    """A router fitted on at most fit_rows usable rows of the most common dimension; None where there are none.
+
+    The number of parts to visit is tuned on other rows, drawn from the same sample at random.
+    """
     n = rows.count()
     if not n:
         return None
     place = (F.xxhash64("vec_id").cast("double") / 2.0**64) + 0.5
-    few = rows.filter(place * n <= 1.2 * fit_rows).orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).collect()
+    want = fit_rows + TUNE_ROWS
+    few = rows.filter(place * n <= 1.2 * want).orderBy(F.xxhash64("vec_id"), "vec_id").limit(want).collect()
     if not few:
-        few = rows.orderBy("vec_id").limit(fit_rows).collect()
+        few = rows.orderBy("vec_id").limit(want).collect()
     sizes = [len(r["embedding"]) for r in few]
     dim = max(sorted(set(sizes)), key=sizes.count)
     x = np.array([r["embedding"] for r in few if len(r["embedding"]) == dim])
     x = np.unique(x, axis=0)  # one of each repeated vector, so a common one is one node
-    parts = max(4, min(MAX_PARTS, n // part_rows, len(x) // 8))
-    if len(x) < 2 * parts:
+    x = x[np.random.default_rng(7).permutation(len(x))]  # unique() sorts; the rows held out are to be of every region
+    held = min(TUNE_ROWS, len(x) // 4)
+    fitted = x[held : held + fit_rows]
+    parts = max(4, min(MAX_PARTS, n // part_rows, len(fitted) // 8))
+    if len(fitted) < 2 * parts:
         return Router(np.zeros((dim, 1)), np.zeros(1))
-    graph = neighbour_graph(x)
-    router = fit_router(x, graph, cut_graph(x, graph, parts), parts)
-    router.visits = _visits(router, x, graph)
+    graph = neighbour_graph(fitted)
+    router = fit_router(fitted, graph, cut_graph(fitted, graph, parts), parts)
+    router.visits = _visits(router, x, held)
     return router
 
 
-def _visits(router: Router, x: np.ndarray, graph: np.ndarray) -> int:
+def _visits(router: Router, x: np.ndarray, held: int) -> int:
+    """How many parts find RECALL of the neighbours among x of its first rows, which the router was not fitted on."""
     p = router.probabilities(x)
     part = p.argmax(1)
-    order = np.argsort(-p[:TUNE_ROWS], axis=1, kind="stable")
+    order = np.argsort(-p[:held], axis=1, kind="stable")
     place = np.argsort(order, axis=1)  # of each part among a row's most probable
-    found = np.take_along_axis(place, part[graph[:TUNE_ROWS]], 1)
+    found = np.take_along_axis(place, part[neighbour_graph(x, rows=held)], 1)
     share = np.cumsum(np.bincount(found.ravel(), minlength=p.shape[1])) / found.size
     return int(np.searchsorted(share, RECALL)) + 1
 

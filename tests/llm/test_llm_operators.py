@@ -248,6 +248,29 @@ def test_neighbours_recall_order_and_scores(spark):
     assert found >= 0.9 * 20 * 150
 
 
+def test_neighbours_recall_on_skewed_vectors(spark):
+    # Tight clusters whose first component is least, and a diffuse rest: what finds the neighbours of the one loses those of the other.
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(60, 16)) - 6 * np.eye(16)[0]
+    tight = np.repeat(centres, 50, axis=0) + 0.01 * rng.normal(size=(3000, 16))
+    rest = rng.normal(size=(3000, 16))
+    rest[:, 0] = np.abs(rest[:, 0])
+    y = np.concatenate([tight, rest])[rng.permutation(6000)]
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    rows = neighbours.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "vec_id long, embedding array<double>"))
+    router = neighbours.fit(rows, part_rows=50)
+    assert router.weights.shape[1] == 120 and router.visits < 120
+    got = defaultdict(set)
+    for r in neighbours.search(rows, rows.filter("vec_id % 20 = 0"), router, 20).collect():
+        got[r.query_id].add(r.vec_id)
+    found = 0
+    for q in range(0, 6000, 20):
+        s = (y[q] * y).sum(1)
+        s[q] = -np.inf
+        found += len(set(np.lexsort((np.arange(6000), -s))[:20].tolist()) & got[q])
+    assert found >= 0.9 * 20 * 300
+
+
 def test_neighbours_edges(spark):
     empty = neighbours.usable(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert neighbours.fit(empty) is None and neighbours.search(empty, empty, None).count() == 0
