@@ -19,16 +19,18 @@ from pyspark.sql import functions as F
 MARK = "##"
 #: Distinct words remembered by a task between batches.
 MEMO_WORDS = 200_000
+#: Longer words are counted each time.
+MEMO_BYTES = 100
 
 
 class LongestMatch:
     """Counts the pieces of words: first pieces as they are, later ones marked with `mark`.
 
     A word that the pieces can't cover is one unknown token. So is one of over `max_chars`
-    characters. An empty word has no piece.
+    characters, unless that is None. An empty word has no piece.
     """
 
-    def __init__(self, vocabulary: Iterable[str], mark: str = MARK, max_chars: int = 100):
+    def __init__(self, vocabulary: Iterable[str], mark: str = MARK, max_chars: int | None = 100):
         self.max_chars = max_chars
         #: State 0: nothing read. State 1: within a word, at the start of a later piece.
         self.edges: list[dict[str, int]] = [{}, {}]
@@ -69,7 +71,7 @@ class LongestMatch:
     def count(self, word: str) -> int:
         if not word:
             return 0
-        if len(word) > self.max_chars:
+        if self.max_chars is not None and len(word) > self.max_chars:
             return 1
         edges, fail, pops = self.edges, self.fail, self.pops
         state, found = 0, 0
@@ -101,7 +103,7 @@ def word_piece_vocabulary(path: str, kind: str = "word_bpe") -> tuple[str, ...]:
 
 @lru_cache(maxsize=2)
 def _matcher(path: str) -> LongestMatch:
-    return LongestMatch(word_piece_vocabulary(path))
+    return LongestMatch(word_piece_vocabulary(path), max_chars=None)
 
 
 def _counts(batches, path: str):
@@ -116,9 +118,11 @@ def _counts(batches, path: str):
             for w in words:
                 got = memo.get(w)
                 if got is None:
-                    if len(memo) >= MEMO_WORDS:
-                        memo.clear()
-                    got = memo[w] = matcher.count(w.decode("latin-1").translate(byte_level))
+                    got = matcher.count(w.decode("latin-1").translate(byte_level))
+                    if len(w) <= MEMO_BYTES:
+                        if len(memo) >= MEMO_WORDS:
+                            memo.clear()
+                        memo[w] = got
                 total += got
             n_words.append(len(words))
             n_tokens.append(total)
@@ -135,7 +139,7 @@ def _byte_level() -> dict[int, int]:
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_words, n_tokens: longest-match tokens of each text's words, with the vocabulary file at `path`.
 
-    Words are runs without ASCII white space, A-Z lower-cased. Null and empty texts have 0 of both;
+    Words are runs without ASCII white space, A-Z lower-cased, and are counted whatever their length. Null and empty texts have 0 of both;
     every row gives one row, whatever its id; other columns are ignored. Empty input: empty result.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()

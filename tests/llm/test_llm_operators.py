@@ -54,6 +54,25 @@ def test_longest_match_equals_greedy():
             assert m.count(w) == greedy(w, pieces), (w, pieces)
 
 
+def test_token_counts_of_long_words(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("日本語漢字仮名交じり文") for _ in range(2500)), "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(5000)), "https://example.org/" + "path/" * 600, "ab" * 50, "ab" * 51, "é" * 4000]
+    texts = [*words, f"short {words[0]}\n{words[1]} end"]
+    pieces = set(tokens.word_piece_vocabulary(queries.word_bpe_path()))
+    longest, byte_level = max(map(len, pieces)), tokens._byte_level()
+
+    def plain(word):
+        word, at, n = word.encode().decode("latin-1").translate(byte_level), 0, 0
+        while at < len(word):
+            at = next(end for end in range(min(len(word), at + longest), at, -1) if ("##" if at else "") + word[at:end] in pieces)
+            n += 1
+        return n
+
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in tokens.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), queries.word_bpe_path()).collect()}
+    assert got == {i: (len(t.split()), sum(map(plain, t.split()))) for i, t in enumerate(texts)}
+    assert all(n > 100 for i, (_, n) in got.items() if i not in (3, 4))
+
+
 def test_token_counts_edges(edge, none):
     got = rows_of(tokens.token_counts(edge, queries.word_bpe_path()))
     assert len(got) == edge.count()
