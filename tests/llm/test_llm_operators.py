@@ -267,6 +267,28 @@ def test_neighbours_recall_order_and_scores(spark):
     assert found >= 0.9 * 20 * 150
 
 
+def neighbour_recall(rows, y, router, k=20):
+    """Share of the true neighbours found by every query; each list must be full and in order."""
+    got = defaultdict(list)
+    for r in neighbours.search(rows, rows.filter("vec_id % 20 = 0"), router, k).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r)
+    found = total = 0
+    for q in range(0, len(y), 20):
+        s = (y[q] * y).sum(1)
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(len(y)), -s))[: min(k, len(y) - 1)]
+        mine = got[q]
+        assert len(mine) == len(want) and [r.rank for r in mine] == list(range(1, len(want) + 1))
+        assert [(r.score, r.vec_id) for r in mine] == sorted(((r.score, r.vec_id) for r in mine), key=lambda p: (-p[0], p[1]))
+        found += len(set(want.tolist()) & {r.vec_id for r in mine})
+        total += len(want)
+    return found / total if total else 1.0
+
+
+def vector_rows(spark, y):
+    return neighbours.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "vec_id long, embedding array<double>"))
+
+
 def test_neighbours_recall_on_skewed_vectors(spark):
     # Tight clusters whose first component is least, and a diffuse rest: what finds the neighbours of the one loses those of the other.
     rng = np.random.default_rng(12)
@@ -276,18 +298,48 @@ def test_neighbours_recall_on_skewed_vectors(spark):
     rest[:, 0] = np.abs(rest[:, 0])
     y = np.concatenate([tight, rest])[rng.permutation(6000)]
     y /= np.linalg.norm(y, axis=1, keepdims=True)
-    rows = neighbours.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "vec_id long, embedding array<double>"))
+    rows = vector_rows(spark, y)
     router = neighbours.fit(rows, part_rows=50)
-    assert router.weights.shape[1] == 120 and router.visits < 120
-    got = defaultdict(set)
-    for r in neighbours.search(rows, rows.filter("vec_id % 20 = 0"), router, 20).collect():
-        got[r.query_id].add(r.vec_id)
-    found = 0
-    for q in range(0, 6000, 20):
-        s = (y[q] * y).sum(1)
-        s[q] = -np.inf
-        found += len(set(np.lexsort((np.arange(6000), -s))[:20].tolist()) & got[q])
-    assert found >= 0.9 * 20 * 300
+    assert router.weights.shape[1] == 120 and 0 < router.floor < 1
+    assert neighbour_recall(rows, y, router) >= 0.9
+
+
+@pytest.mark.parametrize("n", [1, 15, 30, 60, 100])
+def test_neighbours_of_few_rows_are_all_found(spark, n):
+    rng = np.random.default_rng(n)
+    y = rng.normal(size=(5, 8))[rng.integers(0, 5, n)] + 0.2 * rng.normal(size=(n, 8))
+    rows = vector_rows(spark, y)
+    assert neighbour_recall(rows, y, neighbours.fit(rows)) == 1.0
+    router = neighbours.fit(rows, part_rows=4)  # many leaves of few rows: lists are full all the same
+    assert neighbour_recall(rows, y, router) >= (0.0 if n < 60 else 0.7)
+
+
+def test_neighbours_in_two_levels(spark):
+    rng = np.random.default_rng(3)
+    y = rng.normal(size=(40, 12))[rng.integers(0, 40, 4000)] + 0.15 * rng.normal(size=(4000, 12))
+    rows = vector_rows(spark, y)
+    router = neighbours.fit(rows, part_rows=50, max_parts=10)
+    assert router.weights.shape[1] == 10 and router.subs and router.starts()[-1] > 40
+    assert router.recall >= 0.95 and neighbour_recall(rows, y, router) >= 0.9
+    order, count = router.visits(y[:400], 21)
+    assert router.sizes[order][np.arange(order.shape[1])[None, :] < count[:, None]].sum() < 0.5 * 400 * 4000  # clustered: most rows are not visited
+
+
+def test_neighbours_repeats(spark):
+    """One vector on a third of the rows, ids with several vectors."""
+    rng = np.random.default_rng(9)
+    y = rng.normal(size=(900, 8))
+    y[rng.random(900) < 0.35] = y[7]
+    rows = vector_rows(spark, y)
+    assert neighbour_recall(rows, y, neighbours.fit(rows, part_rows=100)) >= 0.9
+    data = [(i % 30, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)))]
+    twice = neighbours.usable(spark.createDataFrame(data + data[:50], "vec_id long, embedding array<double>"))
+    for part_rows in (30, 400):
+        got = neighbours.search(twice, twice.filter("vec_id % 20 = 0"), neighbours.fit(twice, part_rows=part_rows), 29).collect()
+        assert sorted((r.query_id, r.vec_id) for r in got) == [(q, v) for q in (0, 20) for v in range(30) if v != q]
+    least = {q: min(v for i, v in data if i == q) for q in (0, 20)}
+    for r in got:
+        assert abs(r.score - max(float(np.dot(least[r.query_id], v)) for i, v in data if i == r.vec_id)) < 1e-12
 
 
 def test_neighbours_edges(spark):
