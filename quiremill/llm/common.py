@@ -14,9 +14,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset on a local master (tests).
+
+    On a cluster a machine's own folder is not seen by the others, so there an unset one is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"{tempfile.gettempdir()}/quiremill-checkpoints"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

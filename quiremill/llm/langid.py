@@ -21,12 +21,13 @@ GRAMS = (1, 2, 3)
 PROFILE = 400
 #: Labelled rows of a language that its profile is fitted on, at most: picked by a hash of the id.
 FIT_ROWS = 2000
+#: Languages that are learned, at most: those of most labelled rows, ties by name. (ISO 639-1 names 184.)
+LANGUAGES = 200
 UNKNOWN = "und"
 #: Least score of a text the corpus filter keeps: its distance to the best profile lies that far below the largest possible.
 KEEP_SCORE = 0.2
 
 
-
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     """Whether a code point is a letter or a mark on one."""
@@ -84,7 +85,7 @@ class Profiles:
     def of(cls, ranked: dict[str, np.ndarray]) -> Profiles:
         languages = sorted(ranked)
         grams = np.unique(np.concatenate([ranked[x] for x in languages])) if languages else np.empty(0, np.uint64)
-        ranks = np.full((len(languages), len(grams)), PROFILE, np.int32)
+        ranks = np.full((len(languages), len(grams)), PROFILE, np.int16)
         for i, x in enumerate(languages):
             ranks[i, np.searchsorted(grams, ranked[x])] = np.arange(len(ranked[x]))
         return cls(languages, grams, ranks)
@@ -98,7 +99,7 @@ class Profiles:
         at[at == len(self.grams)] = 0
         known = self.grams[at] == top
         place = np.arange(len(top), dtype=np.int32)
-        distance = np.abs(self.ranks[:, at[known]] - place[known]).clip(max=PROFILE).sum(1) + PROFILE * int((~known).sum())
+        distance = np.abs(self.ranks[:, at[known]].astype(np.int32) - place[known]).clip(max=PROFILE).sum(1) + PROFILE * int((~known).sum())
         best = int(distance.argmin())
         return self.languages[best], float(1 - distance[best] / (PROFILE * len(top)))
 
@@ -127,16 +128,16 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * n), pa.array(g[at : at + 50_000].view(np.int64)), pa.array(c[at : at + 50_000])], names=["lang", "gram", "n"])
 
 
-def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Profiles:
+def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, languages: int = LANGUAGES) -> Profiles:
     """Profiles of the languages of rows (doc_id, text, lang), null languages left out.
 
-    About fit_rows rows of a language are read, all if there are fewer: those with the least hash of their id.
-    What reaches the driver is PROFILE n-grams for each language.
+    About fit_rows rows of a language are read, all if there are fewer: those with the least hash of their id. Of more than `languages`
+    values of lang those of most rows are learned, so a column of dirty values stays bounded: PROFILE n-grams for each reach the driver.
     """
     named = rows.filter("lang IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    sizes = named.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
     place = (F.xxhash64(F.col("doc_id").cast("string")).cast("double") / 2.0**64) + 0.5
-    picked = named.join(F.broadcast(sizes) if sizes.limit(10_001).count() <= 10_000 else sizes, "lang").filter(place * F.col("n") <= fit_rows)
+    picked = named.join(F.broadcast(sizes), "lang").filter(place * F.col("n") <= fit_rows)
     counted = picked.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     ranked: dict[str, list[int]] = {}
@@ -152,7 +153,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     row, whatever its id, gives one row; the whole of a long text counts.
     """
     docs = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)  # bounded: PROFILE n-grams for each language
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)  # bounded: PROFILE n-grams for each of LANGUAGES
 
     def run(batches):
         known = shared.value
@@ -173,7 +174,11 @@ def learners() -> Column:
 
 
 def keep_identified(docs: DataFrame, min_score: float = KEEP_SCORE) -> DataFrame:
-    """docs without the rows that have no language: no letters, or nothing like any profile."""
+    """docs without the rows that have no language: null texts, texts without letters, and those scored under min_score.
+
+    Profiles are learned from docs' own rows with a lang (learners() only). Where none has one, every row goes: nothing is like any profile.
+    Each row is judged by its own text, whatever its id; every column stays as it was. Empty input: empty result.
+    """
     packed = docs.select("text", F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"))
     found = identify(packed, fit(docs.filter(learners())))
     kept = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))

@@ -46,7 +46,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, carry: list[str
     return (
         joined.withColumn("_lines", split)
         .withColumn("n_lines", F.size("_lines").cast("long"))
-        .select("doc_id", "text_hash", "n_lines", F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("text"), *(["carried"] if carry else []))
+        .select("doc_id", "text_hash", "n_lines", F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost")).cast("long").alias("n_dropped"), kept.alias("text"), *(["carried"] if carry else []))
     )
 
 

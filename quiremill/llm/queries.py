@@ -84,7 +84,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("size", mixing.word_count(F.col("text"))).select("doc_id", "source", "text", "size")
     done = mixing.with_copies(docs)
-    return done.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), (F.col("size") * F.col("n_copies")).alias("taken"))
+    return done.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
 
 
 QUERIES = {

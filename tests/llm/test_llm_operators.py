@@ -228,6 +228,12 @@ def test_profiles_equal_plain_counts():
     assert sorted(counts.tolist()) == sorted(want.values())
 
 
+def test_languages_are_bounded(spark):
+    rows = [(i, "some words of a text", "en") for i in range(9)] + [(i, "wörter eines textes", "de") for i in range(9, 14)] + [(i, "x y z", f"dirt{i}") for i in range(14, 60)]
+    got = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=2)
+    assert got.languages == ["de", "en"] and got.predict("wörter")[0] == "de"
+
+
 def test_language_edges(edge, none):
     profiles = langid.fit(edge)
     got = langid.identify(edge, profiles)
@@ -566,6 +572,19 @@ def test_lines_equal_brute_force(spark, edge, none):
     assert len(carried) == edge.count() and {r.n for r in carried} == {"x"}
 
 
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_lines_in_both_sql_modes(spark, edge, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        got = lines.dedup_lines(edge).select("doc_id", "n_lines", "n_dropped", "text").collect()
+        assert Counter(map(tuple, got)) == brute_lines([(r.doc_id, r.text) for r in edge.collect()])
+        mixed = mixing.with_copies(edge).collect()
+        assert all(r.n_copies in (0, 1, 2) for r in mixed) and len(mixed) == edge.count()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 def test_lines_are_native(edge):
     plan = lines.dedup_lines(edge)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow(?!Eval)", plan)
@@ -614,6 +633,24 @@ def test_mixing_targets(spark):
     assert mixing.mix(docs).count() == got.agg(F.sum("n_copies")).first()[0] and mixing.mix(docs).columns == docs.columns
 
 
+def test_mixing_many_sources(spark, monkeypatch):
+    """Targets of thousands of sources against plain water-filling; the shuffle join of many sources gives the broadcast's rows."""
+    rng = random.Random(17)
+    size = {f"host{i}": rng.choice([0, 1, 1, 2, 5, 40, 300]) for i in range(3000)} | {"big": 40_000}
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(size.items())], "doc_id long, text string, source string")
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(size))}
+    low, high, budget = 0.0, 1e6, min(1.5 * sum(size.values()), 2.0 * sum(size.values()))
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * size[s], level * weight[s]) for s in size) < budget else (low, level)
+    few = mixing.with_copies(docs)
+    for r in few.collect():
+        assert abs(r.target - min(2 * size[r.source], level * weight[r.source])) < 1e-5
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10)
+    many = mixing.with_copies(docs)
+    assert many.columns == few.columns and Counter(rows_of(many)) == Counter(rows_of(few))
+
+
 def test_mixing_edges(edge, none):
     got = mixing.with_copies(edge)
     assert got.count() == edge.count() and got.columns.count("rate") == 1
