@@ -2,19 +2,17 @@
 
 A gear hash rolls over each text's bytes; a chunk ends where the hash of the last WINDOW bytes
 has CUT_BITS zero bits, so ends depend on the text around them alone and an insertion shifts no other
-chunk. Chunks are compared by digest. Neighbouring shared chunks of a document form runs; runs of at least
-MIN_WORDS words, split where the first holder changes, are its repeats. Blocks of documents send their distinct digests,
-dealt by hash, to the tasks that count them over the corpus, and get back which are shared; a block is named by a
-digest of its documents, so both readings of the texts agree.
+chunk. What is compared is stretches: from each chunk on, the fewest chunks that hold MIN_WORDS words, by digest. So what
+two documents share stands whole in both of them. Neighbouring shared stretches with the same first holder form a
+passage. Blocks of documents send their distinct digests, dealt by hash, to the tasks that count them over the
+corpus, and get back which are shared; a block is named by a digest of its documents, so both readings of the texts agree.
 """
 
 from __future__ import annotations
 
-from heapq import heapify, heappop, heappush
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiremill.llm.common import raw_texts, release_memory
@@ -25,6 +23,8 @@ MIN_BYTES = 14
 MAX_BYTES = 256
 #: A passage of 50 words or more holds whole chunks of 20 words but for one case in thousands.
 MIN_WORDS = 20
+#: So many bytes count as a word, where words are longer or the script has no spaces.
+WORD_BYTES = 12
 BLOCK_BYTES = 4 << 20
 DOCS_PER_BUCKET = 4000
 
@@ -60,8 +60,15 @@ def chunk_ends(data: np.ndarray) -> np.ndarray:
     return ends
 
 
-def _chunk_text(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digests (n x 2 int64), byte lengths and word counts of a text's chunks."""
+def _stretches(lengths: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
+    """End (the chunk after) of the shortest stretch of min_words words from each chunk on; chunks with too few left have none."""
+    held = np.concatenate([[0], np.cumsum(np.maximum(words, lengths // WORD_BYTES))])
+    ends = np.searchsorted(held, held[:-1] + max(1, min_words))
+    return ends[ends < len(held)]
+
+
+def _chunk_text(raw: bytes, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests (n x 2 int64) of a text's stretches, byte lengths and word counts of its chunks."""
     import xxhash
 
     data = np.frombuffer(raw, np.uint8)
@@ -74,7 +81,8 @@ def _chunk_text(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     begins = ~space
     begins[1:] &= space[:-1]
     words = np.add.reduceat(begins.astype(np.int32), starts)
-    digests = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    stop = ends[_stretches(ends - starts, words, min_words) - 1]
+    digests = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(starts.tolist(), stop.tolist(), strict=False)])
     return np.frombuffer(digests, np.int64).reshape(-1, 2), ends - starts, words
 
 
@@ -101,8 +109,8 @@ def _distinct(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], place
 
 
-def _blocks(batches, buckets: int, ask: bool):
-    """A block's distinct digests by bucket (ask), or else its documents' chunks as places among them."""
+def _blocks(batches, buckets: int, ask: bool, min_words: int):
+    """A block's distinct digests by bucket (ask), or else its documents' stretches as places among them, and their chunks."""
     import xxhash
 
     rows: list[tuple] = []
@@ -110,10 +118,10 @@ def _blocks(batches, buckets: int, ask: bool):
 
     def flush() -> pa.RecordBatch:
         block = name.hexdigest()
-        cut = [_chunk_text(raw) for *_, raw in rows]
+        cut = [_chunk_text(raw, min_words) for *_, raw in rows]
         counts = np.array([len(x[1]) for x in cut], np.int64)
         digests = np.concatenate([x[0] for x in cut])
-        docs = np.repeat(np.array([d for d, *_ in rows], np.int64), counts)
+        docs = np.repeat(np.array([d for d, *_ in rows], np.int64), [len(x[0]) for x in cut])
         # By bucket first, so that a bucket's digests are neighbours.
         bucket = digests[:, 0].view(np.uint64) % np.uint64(buckets)
         order = np.lexsort((digests[:, 1], digests[:, 0], bucket))
@@ -177,73 +185,6 @@ def _share(table: pa.Table) -> pa.Table:
     return pa.table({"block": table["block"].combine_chunks(), "bucket": table["bucket"].combine_chunks(), "size": pa.array(sizes, pa.int64()), "payload": pa.array(out, pa.binary())})
 
 
-def _join_short(firsts: np.ndarray, size: np.ndarray, word: np.ndarray, min_words: int) -> list[tuple[int, int, int]]:
-    """Stretches of chunks as (from, to, holder): one for each first holder in turn, but one under min_words words joins its longer
-    neighbour, shortest first. The holder is that of most bytes, ties to the least."""
-    at = np.flatnonzero(np.diff(firsts, prepend=firsts[0] - 1))
-    head, end = firsts[at].tolist(), [*at[1:].tolist(), len(firsts)]
-    at, words = at.tolist(), np.add.reduceat(word, at).tolist()
-    held = [{h: b} for h, b in zip(head, np.add.reduceat(size, at).tolist(), strict=True)]
-    before, after = list(range(-1, len(at) - 1)), [*range(1, len(at)), -1]
-    live = [True] * len(at)
-
-    def join(i: int, j: int) -> None:
-        """j, which comes after i, becomes part of it."""
-        few, many = sorted((held[i], held[j]), key=len)
-        best = head[i] if many is held[i] else head[j]
-        for h, b in few.items():
-            many[h] = many.get(h, 0) + b
-            best = max(best, h, key=lambda x: (many[x], -x))
-        held[i], head[i], end[i] = many, best, end[j]
-        words[i] += words[j]
-        live[j], after[i] = False, after[j]
-        if after[j] >= 0:
-            before[after[j]] = i
-
-    heap = [(w, i) for i, w in enumerate(words) if w < min_words]
-    heapify(heap)
-    while heap:
-        w, i = heappop(heap)
-        if not live[i] or words[i] != w or (before[i] < 0 and after[i] < 0):
-            continue
-        if after[i] < 0 or (before[i] >= 0 and words[before[i]] >= words[after[i]]):
-            i = before[i]
-        join(i, after[i])
-        while after[i] >= 0 and head[after[i]] == head[i]:
-            join(i, after[i])
-        while before[i] >= 0 and head[before[i]] == head[i]:
-            i = before[i]
-            join(i, after[i])
-        if words[i] < min_words:
-            heappush(heap, (words[i], i))
-    return [(at[i], end[i], head[i]) for i in range(len(at)) if live[i]]
-
-
-def _by_holder(firsts: np.ndarray, size: np.ndarray, word: np.ndarray, doc_id: int, min_words: int) -> list[tuple[int, int, int]]:
-    """A run of shared chunks split by first holder, as (from, to, holder).
-
-    A piece is the document's own, or all of it is held by earlier documents. Chunks of earlier ones that have under min_words
-    words together, and fewer than the document's own chunks beside them, stay in its own piece. The pieces cover the run but for
-    own ones under min_words words beside others.
-    """
-    if (firsts == firsts[0]).all():
-        return [(0, len(firsts), int(firsts[0]))]
-    own = firsts == doc_id
-    at = np.flatnonzero(np.diff(own, prepend=~own[:1]))
-    words = np.add.reduceat(word, at)
-    beside = np.append(words[1:], 0) + np.append(0, words[:-1])
-    mine = own[at] | ((words < min_words) & (words < beside))
-    own = np.repeat(mine, np.diff(np.append(at, len(own))))
-    at = np.flatnonzero(np.diff(own, prepend=~own[:1])).tolist()
-    out = []
-    for a, b in zip(at, [*at[1:], len(own)], strict=True):
-        if own[a]:
-            out += [(a, b, doc_id)] if b - a == len(own) or word[a:b].sum() >= min_words else []
-        else:
-            out += [(a + x, a + y, h) for x, y, h in _join_short(firsts[a:b], size[a:b], word[a:b], min_words)]
-    return out
-
-
 PASSAGE = "doc_id long, text_hash long, passage long, start long, bytes long, n_chunks long, n_words long, first_doc_id long, n_docs long, kept boolean"
 
 
@@ -258,31 +199,33 @@ def _passages(docs: pa.Table, answers: pa.Table, min_words: int) -> pa.Table:
         first[at + local], seen[at + local] = lo, n
     out: list[list] = [[] for _ in range(10)]
     for r in range(len(docs)):
-        raw = _unpack(docs["payload"][r].as_py())
-        n = len(raw) // 8
-        place = np.frombuffer(raw[: 4 * n], np.uint32)
-        if n and int(place.max()) >= total:
+        raw, counts = _unpack(docs["payload"][r].as_py()), docs["counts"][r].as_py()
+        n = sum(counts)  # chunks: two bytes of length and two of words; what stands before are the stretches' places
+        place, rest = np.frombuffer(raw[: len(raw) - 4 * n], np.uint32), raw[len(raw) - 4 * n :]
+        if len(place) and int(place.max()) >= total:
             raise RuntimeError("the documents changed between two readings")
-        lengths, words = np.frombuffer(raw[4 * n : 6 * n], np.uint16).astype(np.int64), np.frombuffer(raw[6 * n :], np.uint16).astype(np.int64)
-        at = 0
-        for doc_id, key, count in zip(docs["docs"][r].as_py(), docs["hashes"][r].as_py(), docs["counts"][r].as_py(), strict=True):
-            here = place[at : at + count]
+        lengths, words = (np.frombuffer(x, np.uint16).astype(np.int64) for x in (rest[: 2 * n], rest[2 * n :]))
+        at = at_place = 0
+        for doc_id, key, count in zip(docs["docs"][r].as_py(), docs["hashes"][r].as_py(), counts, strict=True):
+            size, word = lengths[at : at + count], words[at : at + count]
+            ends = _stretches(size, word, min_words)
+            here = place[at_place : at_place + len(ends)]
             held = seen[here] > 0
-            if held.any():
-                size, word = lengths[at : at + count], words[at : at + count]
-                start = np.cumsum(size) - size
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], held.view(np.int8), [0]])))
-                number = 0
-                for a, b in edge.reshape(-1, 2):
-                    if int(word[a:b].sum()) < min_words:
-                        continue
-                    for c, d, head in _by_holder(first[here[a:b]], size[a:b], word[a:b], doc_id, min_words):
-                        c, d = a + c, a + d
-                        row = (doc_id, key, number, int(start[c]), int(size[c:d].sum()), d - c, int(word[c:d].sum()), head, int(seen[here[c:d]].max()), head == doc_id)
-                        for col, x in zip(out, row, strict=True):
-                            col.append(x)
-                        number += 1
-            at += count
+            at, at_place = at + count, at_place + len(ends)
+            if not held.any():
+                continue
+            byte, spoken = (np.concatenate([[0], np.cumsum(x)]) for x in (size, word))
+            # A passage: shared stretches, one after the other, with the same first holder.
+            new = np.concatenate([[True], (held[1:] != held[:-1]) | (held[1:] & (first[here[1:]] != first[here[:-1]]))])
+            edge = np.flatnonzero(new)
+            number = 0
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(ends)], strict=True):
+                if held[a]:
+                    head, stop = int(first[here[a]]), int(ends[b - 1])
+                    row = (doc_id, key, number, int(byte[a]), int(byte[stop] - byte[a]), stop - a, int(spoken[stop] - spoken[a]), head, int(seen[here[a:b]].max()), head == doc_id)
+                    for col, x in zip(out, row, strict=True):
+                        col.append(x)
+                    number += 1
     release_memory()
     names = [f.split()[0] for f in PASSAGE.split(", ")]
     return pa.table({n: pa.array(c, pa.bool_() if n == "kept" else pa.int64()) for n, c in zip(names, out, strict=True)})
@@ -292,31 +235,39 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each passage of a document that other documents share.
 
     doc_id, text_hash, passage (number in the text, from 0), start and bytes (in its UTF-8), n_chunks, n_words,
-    first_doc_id (the least id that holds a chunk, by most of the passage's bytes), n_docs (how often its most common
-    chunk occurs), kept (this document is that first one).
+    first_doc_id (the least id that holds it), n_docs (how often its most common stretch occurs), kept (this document is that first one).
 
-    Runs of shared chunks have min_words words or more and are split where the first holder changes, so a repeat of an earlier
-    document inside a longer shared run is a passage of its own. Shorter stretches of earlier documents join their neighbours;
-    every chunk of a passage that is not kept has an earlier holder. Under min_words words of the document's own beside these are no passage.
+    A passage is a run of chunk stretches of min_words words (or WORD_BYTES bytes for each, where words are longer or not spaced) which all
+    have the same first holder; each stretch stands whole in that document and in one other at least. Where the first
+    holder changes a new passage starts, so neighbouring passages may overlap by less than a stretch.
 
     Null ids take no part; null and empty texts have no chunk; rows that repeat an id count as one
     document for sharing, and each gives its own passages. Other columns are ignored. Empty input: empty result.
     """
     base = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     buckets = max(12, base.select("doc_id").count() // DOCS_PER_BUCKET)
-    asked = base.mapInArrow(lambda b: _blocks(b, buckets, True), "block string, bucket int, payload binary")
+    asked = base.mapInArrow(lambda b: _blocks(b, buckets, True, min_words), "block string, bucket int, payload binary")
     answers = asked.groupBy("bucket").applyInArrow(_share, "block string, bucket int, size long, payload binary")
-    blocks = base.mapInArrow(lambda b: _blocks(b, buckets, False), "block string, docs array<long>, hashes array<long>, counts array<long>, payload binary")
+    blocks = base.mapInArrow(lambda b: _blocks(b, buckets, False, min_words), "block string, docs array<long>, hashes array<long>, counts array<long>, payload binary")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _passages(a, b, min_words), PASSAGE)
 
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text: each text without the passages that a document of smaller id holds; every row of docs gives one."""
-    gone = repeated_passages(docs, min_words).filter("NOT kept").groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).agg(F.array_sort(F.collect_list(F.struct("start", "bytes"))).alias("gone"))
+    """doc_id, text: each text without the passages that a document of smaller id holds; every row of docs gives one.
+
+    A passage stays whole in the least document that holds it, unless part of it repeats a still smaller one, which then keeps that part.
+    Null texts stay null, empty ones empty; rows of null id stay as they are; rows that repeat an id are cut by their own text. A text that
+    is one repeat becomes empty. Other columns are left out. Empty input: empty result.
+    """
+    keys = [F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")]
+    spans = repeated_passages(docs, min_words).filter("NOT kept").select(*keys, F.col("start").alias("_from"), (F.col("start") + F.col("bytes")).alias("_to"))
+    before = Window.partitionBy("_d", "_t").orderBy("_from", "_to").rowsBetween(Window.unboundedPreceding, -1)  # a document's own spans
+    spans = spans.withColumn("_at", F.coalesce(F.max("_to").over(before), F.lit(0).cast("long")))
+    between = F.when(F.col("_at") < F.col("_from"), F.struct(F.col("_at").alias("a"), F.col("_from").alias("b")))
+    gone = spans.groupBy("_d", "_t").agg(F.array_sort(F.collect_list(between)).alias("stay"), F.max("_to").alias("rest"))
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("_h"))
-    joined = base.join(gone, (F.col("doc_id").cast("long") == F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
-    raw = F.encode("text", "UTF-8")
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("gone", lambda g: g["start"] + g["bytes"]))
-    starts = F.concat(F.transform("gone", lambda g: g["start"]), F.array(F.octet_length("text").cast("long")))
-    parts = F.zip_with(ends, starts, lambda a, b: F.decode(F.substring(F.col("_raw"), (a + 1).cast("int"), (b - a).cast("int")), "UTF-8"))
-    return joined.withColumn("_raw", raw).select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(parts, "")).alias("text"))
+    joined = base.join(gone.hint("merge"), (F.col("doc_id").cast("long") == F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
+    size = F.octet_length("_raw").cast("long")
+    parts = F.concat("stay", F.array(F.struct(F.col("rest").alias("a"), F.greatest("rest", size).alias("b"))))
+    cut = F.array_join(F.transform(parts, lambda x: F.decode(F.substring(F.col("_raw"), (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")), "UTF-8")), "")
+    return joined.withColumn("_raw", F.encode("text", "UTF-8")).select("doc_id", F.when(F.col("rest").isNull(), F.col("text")).otherwise(cut).alias("text"))

@@ -166,27 +166,73 @@ def test_passages_have_one_first_holder(spark):
         assert texts[d].split()[:90] == kept[d].split()[:90] and texts[d].split()[-90:] == kept[d].split()[-90:]
 
 
-def test_runs_are_split_by_holder():
-    rng = np.random.default_rng(4)
-    for _ in range(300):
-        n = int(rng.integers(1, 60))
-        firsts = np.repeat(rng.integers(0, 4, n), rng.integers(1, 9, n))[:n]
-        word, size = rng.integers(0, 12, n), rng.integers(14, 60, n)
-        got = chunks._by_holder(firsts, size, word, 3, 20)
-        covered = [any(a <= i < b for a, b, _ in got) for i in range(n)]
-        assert sum(b - a for a, b, _ in got) == sum(covered) > 0
-        left = np.array([0] + [0 if c else int(w) for c, w in zip(covered, word, strict=True)])
-        gap = np.split(left[1:], np.flatnonzero(covered))
-        assert all(g.sum() < 20 for g in gap)
-        for a, b, head in got:
-            assert head == 3 or (firsts[a:b] != 3).all()
-            held = [int(size[a:b][firsts[a:b] == h].sum()) for h in range(3)]
-            assert head == 3 or head == held.index(max(held))
-    # Every stretch long enough on its own stays a passage; a short one joins.
-    split = lambda firsts, words: chunks._by_holder(np.array(firsts), np.full(len(firsts), 40), np.array(words), 5, 20)
-    assert split([5, 1, 2, 5], [30, 25, 25, 3]) == [(0, 1, 5), (1, 2, 1), (2, 3, 2)]
-    assert split([1, 1, 0, 1, 1], [8, 8, 5, 8, 8]) == [(0, 5, 1)]
-    assert split([5, 1, 5], [30, 8, 30]) == [(0, 3, 5)]
+def passages_brute(data, min_words=20):
+    """Stretches compared as strings: for each document, runs of (start, end) with the least id that holds each of their stretches."""
+    found, held = {}, defaultdict(set)
+    for d, text in data:
+        raw = text.encode()
+        ends = chunks.chunk_ends(np.frombuffer(raw, np.uint8)).tolist()
+        starts = [0, *ends[:-1]]
+        worth = [max(sum(1 for i in range(a, b) if not raw[i : i + 1].isspace() and (i == 0 or raw[i - 1 : i].isspace())), (b - a) // chunks.WORD_BYTES) for a, b in zip(starts, ends)]
+        found[d] = []
+        for i in range(len(ends)):
+            total, j = 0, i
+            while j < len(ends) and total < min_words:
+                total, j = total + worth[j], j + 1
+            if total >= min_words:
+                found[d].append((starts[i], ends[j - 1]))
+                held[raw[starts[i] : ends[j - 1]]].add(d)
+    out = []
+    for d, text in data:
+        raw, run = text.encode(), None
+        for a, b in [*found[d], (None, None)]:
+            owners = held[raw[a:b]] if a is not None else set()
+            head = min(owners) if len(owners) > 1 else None
+            if run and run[2] != head:
+                out.append((d, run[0], run[1] - run[0], run[2]))
+                run = None
+            if head is not None:
+                run = (run[0] if run else a, b, head)
+    return out
+
+
+def stitched_texts():
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    said = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    pool = [said(n) for n in (3, 6, 8, 12, 16, 25, 30, 40, 55, 70) for _ in range(5)]
+    data = []
+    for i in range(150):
+        data.append((i, " ".join(rng.choice(pool) if rng.random() < 0.6 else said(rng.randint(2, 40)) for _ in range(rng.randint(1, 8)))))
+    data += [(200 + i, data[i][1]) for i in range(0, 150, 9)]
+    unspaced = "".join(rng.choice("日本語文字列検出重複大規模言語") for _ in range(200))
+    return data + [(300, "あ" * 3 + unspaced + said(5)), (301, "い" * 7 + unspaced)]
+
+
+def test_passages_equal_brute_force(spark):
+    data = stitched_texts()
+    got = chunks.repeated_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start, r.bytes, r.first_doc_id) for r in got) == sorted(passages_brute(data))
+    assert {300, 301} <= {r.doc_id for r in got}
+
+
+def test_passages_stand_whole_in_their_first_holder(spark):
+    """Short shared pieces of several documents in a row make no passage; what is dropped stands in an earlier document."""
+    data = stitched_texts()
+    docs, raw = spark.createDataFrame(data, "doc_id long, text string"), {d: t.encode() for d, t in data}
+    for r in chunks.repeated_passages(docs).collect():
+        part = raw[r.doc_id][r.start : r.start + r.bytes]
+        assert part in raw[r.first_doc_id] and any(part in t for d, t in raw.items() if d != r.doc_id)
+        assert r.n_words >= 20 or len(part) >= 20 * chunks.WORD_BYTES
+    kept = dict(rows_of(chunks.drop_repeats(docs)))
+    want = {}
+    for d, t in raw.items():
+        gone = bytearray(len(t))
+        for x, start, size, head in passages_brute(data):
+            if x == d and head != d:
+                gone[start : start + size] = b"\1" * size
+        want[d] = bytes(b for b, g in zip(t, gone) if not g).decode()
+    assert kept == want
 
 
 def test_chunks_edges(edge, none):
