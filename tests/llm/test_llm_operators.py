@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on nulls, empties, long texts, ties, repeats and clashing names."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -445,6 +446,49 @@ def test_block_max_equals_brute_force(toxic):
         assert np.allclose(cosine, s[want][: len(cosine)]) and (s[want][len(cosine) :] <= 0).all()
 
 
+def test_evidence_equals_dense_tf_idf(toxic):
+    """Neighbours and cosines against TF-IDF vectors made from the texts alone."""
+    docs, labels = toxic
+    index = toxicity.fit(docs, labels.filter(toxicity.learners()))
+    texts = dict(rows_of(docs))
+    known = sorted(index.terms)
+    holders = Counter(t for text in texts.values() for t in set(toxicity.text_terms(text)))
+    idf = {t: math.log((len(texts) + 1) / (holders[t] + 1)) + 1 for t in known}
+
+    def vector(text):
+        counts = toxicity.text_terms(text)
+        v = np.array([idf[t] * (1 + math.log(counts[t])) if counts[t] else 0.0 for t in known])
+        return v / (np.linalg.norm(v) or 1)
+
+    assert {"vileword", "nastything", "foulness"} <= set(known)
+    examples = [int(x) for x in index.doc_ids]
+    dense = np.array([vector(texts[d]) for d in examples])
+    seen = 0
+    for r in toxicity.score(docs, index).collect():
+        s = np.sort(dense @ vector(r.text))[::-1]
+        s = s[s > 1e-12][: toxicity.NEIGHBOURS]
+        assert np.allclose([e.cosine for e in r.evidence], s)
+        for e in r.evidence:
+            assert abs(float(dense[examples.index(e.doc_id)] @ vector(r.text)) - e.cosine) < 1e-9
+        seen += len(r.evidence) > 0
+    assert seen > 50
+
+
+def test_rare_wording_has_examples(spark):
+    """A word of few toxic texts is found though the sample of examples is far smaller; copies of a text count once."""
+    rng = random.Random(3)
+    said = lambda: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(3, 6))) for _ in range(20))
+    data = [(i, said() + (" zzrareinsult" if i % 40 == 0 else " yyusualinsult" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(1600)]
+    copied = said()
+    data += [(2000 + i, copied, 1) for i in range(60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    index = toxicity.fit(docs, docs.select("doc_id", "toxic"), fit_rows=(40, 10))
+    assert "zzrareinsult" in index.terms and not set(copied.split()) & set(index.terms)
+    got = toxicity.score(spark.createDataFrame([(1, said() + " zzrareinsult"), (2, said())], "doc_id long, text string"), index).collect()
+    assert {r.doc_id: r.predicted for r in got} == {1: 1, 2: 0}
+    assert len(index.labels) <= 40 + 10 + toxicity.TERM_ROWS * len(index.terms)
+
+
 def test_toxicity_edges(edge, none, spark):
     labels = spark.createDataFrame([(4, 1), (4, 0), (None, 1), (5, None), (7, 0), (99, 1)], "doc_id long, toxic int")
     for index in (toxicity.fit(edge, labels), toxicity.fit(none, labels), toxicity.fit(edge, labels.filter("false"))):
