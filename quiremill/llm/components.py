@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiremill.llm.common import materialize
+from quiremill.llm.common import attach_by_hash, materialize
 
 #: So many edges (a few MB) are finished in one task; more go on in rounds over all executors.
 ONE_TASK_EDGES = 200_000
@@ -41,12 +41,14 @@ def _contract(batches):
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step: every node's neighbours (the larger ones, or the others) point to its least neighbour."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    joined = both.join(least, "a")
+    least = both.groupBy(F.col("a").alias("h1"), F.lit(0).cast("long").alias("h2")).agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    least = materialize(least, "least_neighbours")
+    keyed = both.withColumn("h1", F.col("a")).withColumn("h2", F.lit(0).cast("long"))
+    joined = attach_by_hash(keyed, least, F.xxhash64("b"), "m", "n").select("a", "b", "m")  # a component's centre is a hot key
     if large:
         return joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
     inner = joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
-    own = least.select("a", F.col("m").alias("b"))
+    own = least.select(F.col("h1").alias("a"), F.col("m").alias("b"))
     return inner.unionByName(own).filter("a <> b").distinct()
 
 

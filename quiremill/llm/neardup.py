@@ -3,14 +3,17 @@
 1. Every text becomes its set of word shingles; equal sets are one class.
 2. A class's MinHash signature, rotated, gives TREES sort orders. Classes that share the first
    DEPTH values of an order form a region; in each region the order's neighbours (those with
-   the longest common prefix, so the depth adapts to how dense the region is) and the region's
-   first class become candidates.
-3. Candidates with similar signatures join groups. Regions that still hold several groups are
-   compared in full, signature by signature, in blocks: so no pair that shares a region is left out.
+   the longest common prefix) and the region's first class become candidates.
+3. Candidates with similar signatures join groups. Regions that still hold several groups are compared: in full where
+   they have at most REGION_ROWS classes; else the region is a forest of its own, whose ORDERS orders of the signature are cut
+   deeper, each as deep as it takes until REGION_ROWS classes or fewer are left. Classes that share all values that may be
+   cut by are compared in full, in blocks. So work grows with the rows of a region, not with their square.
 4. Links are confirmed on full sets within each group; groups larger than a task's memory
    are split into blocks which are compared with each other.
 
-Two texts at the threshold share no region with a probability of (1 - 0.75**4)**32, 5 in a million.
+Two texts at the threshold share no region with a probability of (1 - 0.75**4)**32, 5 in a million. In a region that is cut x values deeper
+they stay together in one of its orders with a probability of 1 - (1 - 0.75**x)**16, above 0.99 up to x = 4 and 0.9 at x = 7; the other
+trees, whose regions are mostly small, find them besides.
 """
 
 from __future__ import annotations
@@ -31,8 +34,12 @@ DEPTH = 4
 HASHES = TREES * DEPTH
 #: Signatures that agree in so many of 128 values may belong to sets at the threshold (4 standard deviations below it).
 AGREE = int(HASHES * 0.58)
-#: Rows of a region that are sorted or compared in one piece; larger regions are split.
+#: Rows of a region that are sorted or compared in one piece; larger regions are cut deeper.
 REGION_ROWS = 1000
+#: Orders by which a region too large to be compared in full is cut, the values a cut adds, and the most it may add.
+ORDERS = 16
+STEP = 2
+MAX_CUT = 40
 #: Shingles of a group that one task holds (8 bytes each, with its index 32); larger groups are split.
 GROUP_SHINGLES = 3_000_000
 #: Members of a block's main part that are shown to other blocks first.
@@ -230,11 +237,15 @@ def similar_groups(classes: DataFrame) -> DataFrame:
     edges = materialize(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").mapInArrow(_agreeing, "a long, b long"), "similar_pairs")
     first = materialize(components(edges), "groups_1")
 
-    # Regions that still hold several groups: compare all of their rows, in blocks.
+    # Regions that still hold several groups: compare their rows in full, or cut them deeper first.
     named = held.join(first.hint("merge"), held["class_id"] == first["node"], "left").select("class_id", "h1", "h2", "region_rows", F.coalesce("root", "class_id").alias("root"))
     mixed = named.groupBy("h1", "h2").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi").withColumn("is_mixed", F.lit(1))
     mixed = materialize(mixed.select("h1", "h2", "n", "is_mixed"), "mixed_regions")
-    open_rows = attach_by_hash(named, mixed, F.xxhash64("class_id", "h2", "h1"), "is_mixed", "n").filter("is_mixed = 1")
+    open_rows = attach_by_hash(named, mixed, F.xxhash64("class_id", "h2", "h1"), "is_mixed", "n").filter("is_mixed = 1").select("class_id", "h1", "h2", "region_rows", "root")
+    large = mixed.filter(F.col("n") > REGION_ROWS)
+    if large.limit(1).count():
+        open_rows = materialize(open_rows, "open_regions")
+        open_rows = open_rows.filter(F.col("region_rows") <= REGION_ROWS).unionByName(_cut_deeper(open_rows.filter(F.col("region_rows") > REGION_ROWS), classes))
     block = F.pmod(F.xxhash64("class_id"), pieces)
     others = F.transform(F.sequence(F.lit(0).cast("long"), pieces - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
     dealt = open_rows.withColumn("block", block).withColumn("cell", F.explode(others)).select("h1", "h2", "cell.i", "cell.j", "class_id", "root")
@@ -244,6 +255,33 @@ def similar_groups(classes: DataFrame) -> DataFrame:
     return materialize(components(stars.unionByName(more)), "groups_2")
 
 
+def _cut_deeper(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows (class_id, h1, h2, region_rows, root) of large regions, as rows of smaller ones within them.
+
+    Each row enters ORDERS orders, which start at places spread over the signature and in each of which rows that share STEP more values stay together, until
+    REGION_ROWS or fewer do. A region of one group is done. What MAX_CUT values can't part is left as large as it is.
+    """
+    order = F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("order")
+    start = F.pmod(F.col("top2") * DEPTH + DEPTH + F.col("order") * (HASHES // ORDERS), F.lit(HASHES))
+    open_rows = rows.select("class_id", F.col("h1").alias("top1"), F.col("h2").alias("top2"), "root", order).withColumn("start", start)
+    signed = classes.select("class_id", F.concat("sig", "sig").alias("sigs"))
+    open_rows = materialize(open_rows.join(signed.hint("merge"), "class_id").withColumn("sigs", F.substr("sigs", (F.col("start") * 2 + 1).cast("int"), F.lit(2 * MAX_CUT))), "open_orders")
+    done = None
+    for depth in range(STEP, MAX_CUT + 1, STEP):
+        prefix = F.substring("sigs", 1, 2 * depth)
+        keyed = open_rows.withColumn("h1", F.xxhash64("top1", "top2", "order", prefix)).withColumn("h2", F.col("top2"))
+        sizes = keyed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+        sizes = materialize(sizes.select("h1", "h2", "n", F.col("n").alias("region_rows")), "deeper_regions")
+        placed = materialize(attach_by_hash(keyed, sizes, F.xxhash64("class_id", "order"), "region_rows", "n").filter("region_rows IS NOT NULL"), "deeper_rows")
+        small = F.lit(depth == MAX_CUT) | (F.col("region_rows") <= REGION_ROWS)
+        part = placed.filter(small).select("class_id", "h1", "h2", "region_rows", "root")
+        done = part if done is None else done.unionByName(part)
+        open_rows = placed.filter(~small).select("class_id", "top1", "top2", "root", "order", "sigs")
+        if not open_rows.limit(1).count():
+            break
+    return done
+
+
 def _agreeing(batches):
     for batch in batches:
         if not batch.num_rows:
@@ -271,8 +309,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, group_shingles: int = G
     groups = similar_groups(classes.select("class_id", "sig"))
 
     members = classes.join(groups, classes["class_id"] == groups["node"]).select("class_id", "doc", "n", "d1", "d2", F.col("root").alias("grp"))
-    weight = members.groupBy("grp").agg(F.sum("n").alias("w")).withColumn("blocks", F.ceil(F.col("w") / group_shingles).cast("long"))
-    members = members.join(weight, "grp").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")))
+    weight = members.groupBy(F.col("grp").alias("h1"), F.lit(0).cast("long").alias("h2")).agg(F.ceil(F.sum("n") / group_shingles).cast("long").alias("blocks"), F.count("*").alias("rows"))
+    members = members.withColumn("h1", F.col("grp")).withColumn("h2", F.lit(0).cast("long"))
+    members = attach_by_hash(members, materialize(weight, "group_weights"), F.xxhash64("class_id"), "blocks", "rows").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")))
     members = materialize(members.select("grp", "blocks", "block", "class_id", "doc", "d1", "d2"), "members")
     # One text for each class: the head's, found by its id and its set's digest.
     texts = docs.withColumnRenamed("doc_id", "doc").join(members.select("grp", "block", "class_id", "doc").hint("merge"), "doc")
@@ -289,9 +328,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, group_shingles: int = G
 
     # The least document of each component, then back to every row by its class.
     heads = classes.join(linked, classes["class_id"] == linked["node"], "left").select("d1", "d2", "doc", F.coalesce("root", "class_id").alias("root"), F.col("copies"))
-    least = heads.groupBy("root").agg(F.min("doc").alias("component_id"))
-    known = heads.join(least, "root").select(F.col("d1").alias("h1"), F.col("d2").alias("h2"), "component_id", "copies")
-    known = materialize(known, "class_components")
+    least = heads.groupBy(F.col("root").alias("h1"), F.lit(0).cast("long").alias("h2")).agg(F.min("doc").alias("component_id"), F.count("*").alias("n"))
+    heads = heads.withColumn("h1", F.col("root")).withColumn("h2", F.lit(0).cast("long"))
+    known = attach_by_hash(heads, materialize(least, "least_documents"), F.xxhash64("d1", "d2"), "component_id", "n")
+    known = materialize(known.select(F.col("d1").alias("h1"), F.col("d2").alias("h2"), "component_id", "copies"), "class_components")
     rows = signed.select("doc_id", "text_hash", "n_shingles", F.col("d1").alias("h1"), F.col("d2").alias("h2"))
     placed = attach_by_hash(rows, known, F.xxhash64("doc_id"), "component_id", "copies")
     own = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))

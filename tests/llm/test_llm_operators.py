@@ -613,6 +613,26 @@ def test_near_split_groups(spark, monkeypatch):
     check_near(spark, near_data(groups=3, size=60, seed=2, words=40), group_shingles=300, envoys=2)
 
 
+def test_near_dense_regions_are_cut_deeper(spark, monkeypatch):
+    """Texts that share most of their words but aren't near: their regions are large and mixed, and are cut until they are small."""
+    monkeypatch.setattr(neardup, "REGION_ROWS", 12)
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    common = [rng.choice(vocabulary) for _ in range(60)]
+    data = []
+    for i in range(240):
+        own = [rng.choice(vocabulary) for _ in range(40)]
+        data.append((i, " ".join(common + own)))
+        if i % 4 == 0:  # one near copy: a word of its own part changes
+            own[rng.randrange(5, 35)] = "changed"
+            data.append((1000 + i, " ".join(common + own)))
+    sizes = []
+    cut = neardup._cut_deeper
+    monkeypatch.setattr(neardup, "_cut_deeper", lambda *a: sizes.append(cut(*a)) or sizes[-1])
+    check_near(spark, data)
+    assert sizes and all(n <= 12 for n, in sizes[0].groupBy("h1", "h2").count().select("count").collect())
+
+
 def test_near_many_components(spark, monkeypatch):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 300), (5, 5)], "a long, b long")
     want = {i: 0 for i in range(61)} | {100: 100, 200: 100, 300: 100}
