@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiremill.llm import langid, lines, mixing, neardup, queries
-from quiremill.llm.common import materialize
+from quiremill.llm.common import SPACE, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,8 +21,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier document holds; n_chars follows the text."""
+    """Documents without lines that an earlier document holds; n_chars follows the text. One that loses all its words so goes."""
     done = lines.dedup_lines(docs, carry=["lang", "source"])
+    done = done.filter((F.col("n_dropped") == 0) | (F.btrim("text", F.lit(SPACE)) != ""))
     return done.select("doc_id", "text", "carried.lang", "carried.source", F.length("text").cast("long").alias("n_chars"))
 
 
