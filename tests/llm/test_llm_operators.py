@@ -4,7 +4,9 @@ import hashlib
 import math
 import random
 import re
+import struct
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -532,6 +534,94 @@ def test_audio_damage():
     assert mpeg.read_stream(None).payload == b"" and mpeg.read_stream(b"\xff\xfb\x90").offsets == []
 
 
+# Sizes of common streams as the format gives them: (header bytes, size, samples, Hz).
+KNOWN_FRAMES = [
+    ("fffb9064", 417, 1152, 44100),  # 1, III, 128 kbit/s
+    ("fffb9264", 418, 1152, 44100),  # the same with a padding slot
+    ("fff344c4", 96, 576, 24000),  # 2, III, 32 kbit/s, mono
+    ("ffe310c4", 52, 576, 11025),  # 2.5, III, 8 kbit/s, mono
+    ("fffda4c4", 576, 1152, 48000),  # 1, II, 192 kbit/s
+    ("ffff8264", 280, 384, 44100),  # 1, I, 256 kbit/s, padded
+]
+
+
+def frame_bytes(header, rng):
+    f = mpeg.parse_header(header)
+    return header + bytes(rng.integers(0, 255, f.size - 4, dtype=np.uint8))  # no 0xff: no false header
+
+
+@pytest.mark.parametrize(("header", "size", "samples", "rate"), KNOWN_FRAMES)
+def test_audio_versions_and_layers(header, size, samples, rate):
+    rng = np.random.default_rng(1)
+    head = bytes.fromhex(header)
+    f = mpeg.parse_header(head)
+    assert (f.size, f.samples, f.rate) == (size, samples, rate)
+    stream = b"".join(frame_bytes(head, rng) for _ in range(50))
+    s = mpeg.read_stream(stream)
+    assert s.offsets == list(range(0, 50 * f.size, f.size)) and s.resyncs == 0 and s.rate == rate
+    assert s.duration_us == 50 * samples * 1_000_000 // rate
+    s = mpeg.read_stream(stream[: 10 * f.size + 3] + bytes(9) + stream[11 * f.size :])
+    assert s.resyncs >= 1 and len(s.offsets) in (48, 49)
+    for bad in ("ffea9064", "fff99064", "fffbf064", "fffb9c64", "fffb0064", "fffb9066"):
+        assert mpeg.parse_header(bytes.fromhex(bad)) is None
+
+
+def test_audio_layer_one_checksum():
+    head = bytes.fromhex("fffe80c4")  # mono, with a checksum over header and 16 bytes of allocation
+    body = bytes(range(16))
+    f = mpeg.parse_header(head)
+    frame = head + mpeg.crc16(head[2:] + body).to_bytes(2, "big") + body
+    frame += bytes(f.size - len(frame))
+    assert f.layer == 1 and f.checked and mpeg.read_stream(frame * 3).bad_checksums == 0
+    assert mpeg.read_stream(frame * 2 + frame[:8] + b"\x77" + frame[9:]).bad_checksums == 1
+
+
+def tag_bytes(version, frames, flags=0):
+    body = b"".join(frames)
+    return b"ID3" + bytes([version, 0, flags]) + mpeg._syncsafe(len(body)) + body
+
+
+def test_audio_tags():
+    rng = np.random.default_rng(2)
+    frame = frame_bytes(bytes.fromhex("fffb9064"), rng)
+    text = b"\x00An old title"
+    two = tag_bytes(2, [b"TT2" + len(text).to_bytes(3, "big") + text])
+    wide = b"\x01" + "Bir başlık".encode("utf-16")
+    three = tag_bytes(3, [b"TIT2" + len(wide).to_bytes(4, "big") + b"\0\0" + wide, b"COMM" + (9).to_bytes(4, "big") + b"\0\0" + b"\0eng\0note", b"TXXX" + (6).to_bytes(4, "big") + b"\0\x80" + b"locked"])
+    long = b"\x03" + ("ğ" * 100).encode()  # 201 bytes: syncsafe and plain sizes differ
+    four = tag_bytes(4, [b"TIT2" + mpeg._syncsafe(len(long)) + b"\0\0" + long, b"TPE1" + mpeg._syncsafe(8) + b"\0\0" + b"\x03one\0two"])
+    unsync = tag_bytes(4, [b"TALB" + mpeg._syncsafe(5) + b"\0\x02" + b"\0a\xff\0b"])
+    one = b"TAG" + b"Last title".ljust(30, b"\0") + b"Someone".ljust(30, b" ") + bytes(30) + b"1999" + b"said".ljust(28, b"\0") + b"\0\x07" + b"\x11"
+    for tag, want in ((two, {"TIT2": "An old title"}), (three, {"TIT2": "Bir başlık", "COMM": "note"}), (four, {"TIT2": "ğ" * 100, "TPE1": "one / two"}), (unsync, {"TALB": "a\xffb"})):
+        s = mpeg.read_stream(tag + frame * 3)
+        assert s.tags == want and s.offsets[0] == len(tag) and len(s.offsets) == 3 and not s.resyncs
+    s = mpeg.read_stream(four + two + frame * 3 + one)
+    assert s.tags == {"TIT2": "ğ" * 100, "TPE1": "one / two", "TYER": "1999", "COMM": "said", "TRCK": "7"} and len(s.offsets) == 3 and not s.resyncs
+    ape = b"APETAGEX" + struct.pack("<IIII", 2000, 32, 0, 0) + bytes(8)
+    assert len(mpeg.read_stream(frame * 3 + ape + one).offsets) == 3 and mpeg.read_stream(frame * 3 + ape + one).resyncs == 0
+
+
+def test_audio_tables():
+    rng = np.random.default_rng(3)
+    head = bytes.fromhex("fffb9064")
+    audio = b"".join(frame_bytes(head, rng) for _ in range(20))
+    size = len(audio) // 20
+
+    def with_table(at, table):
+        return (head + bytes(at - 4) + table).ljust(size, b"\0") + audio
+
+    lame = b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big")
+    s = mpeg.read_stream(with_table(36, b"Info" + struct.pack(">III", 3, 20, 21 * size) + lame))
+    assert (s.vbr_frames, s.encoder, s.delay, s.padding, s.counts_match) == (20, "LAME3.100", 576, 1000, True)
+    assert len(s.offsets) == 20 and s.duration_us == (20 * 1152 - 1576) * 1_000_000 // 44100
+    s = mpeg.read_stream(with_table(36, b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 21 * size, 20, 4, 1, 2, 5) + bytes(range(8))))
+    assert (s.vbr_frames, s.vbr_bytes, s.toc, s.counts_match) == (20, 21 * size, bytes(range(8)), True) and len(s.offsets) == 20
+    assert mpeg.read_stream(with_table(36, b"Xing" + struct.pack(">II", 1, 25))).counts_match is False
+    assert mpeg.read_stream(audio).counts_match is None
+    mixed = audio + b"".join(frame_bytes(bytes.fromhex("fffb9464"), rng) for _ in range(20))
+    assert mpeg.read_stream(mixed).duration_us == int((Fraction(20 * 1152, 44100) + Fraction(20 * 1152, 48000)) * 1_000_000)
+
+
 def test_audio_query(spark, edge, tmp_path):
     import zlib
 
