@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiremill.llm.common import raw_texts, release_memory
+from quiremill.llm.common import raw_texts, release_memory, reread
 
 BLOCK_BYTES = 8 << 20
 #: Documents to a bucket of the distinct-word table; buckets grow with the input, so a bucket does not.
@@ -178,7 +178,7 @@ def encode(docs: DataFrame, path: str, decode: bool = False) -> DataFrame:
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = reread(docs.select("doc_id", F.col("text").cast("string").alias("text")), "texts")
     kind = docs.schema["doc_id"].dataType
     buckets = max(12, docs.select("doc_id").count() // DOCS_PER_BUCKET)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiremill.llm.common import raw_texts, release_memory
+from quiremill.llm.common import raw_texts, release_memory, reread
 
 WINDOW = 16
 CUT_BITS = 4
@@ -245,6 +245,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     document for sharing, and each gives its own passages. Other columns are ignored. Empty input: empty result.
     """
     base = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    base = reread(base, "texts")
     buckets = max(12, base.select("doc_id").count() // DOCS_PER_BUCKET)
     asked = base.mapInArrow(lambda b: _blocks(b, buckets, True, min_words), "block string, bucket int, payload binary")
     answers = asked.groupBy("bucket").applyInArrow(_share, "block string, bucket int, size long, payload binary")

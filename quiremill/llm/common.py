@@ -39,6 +39,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
 
 
+#: Plans of these alone give the same rows in the same order each time they are read.
+_STEADY = {"Project", "Filter", "Relation", "RelationV2", "LocalRelation", "LogicalRDD", "SubqueryAlias", "LocalLimit"}
+
+
+def reread(df: DataFrame, name: str) -> DataFrame:
+    """df for operators that read it twice and need the same rows in the same order: as it is where it is columns and filters of a file, else written first.
+
+    After a shuffle the order of rows is that in which blocks arrive, which may differ between two readings on a cluster.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    nodes = {line.lstrip(" +-:").split(" ")[0].split("[")[0] for line in plan.toString().splitlines() if line.strip()}
+    return df if nodes <= _STEADY and plan.deterministic() else materialize(df, name)
+
+
 def raw_texts(column):
     """The UTF-8 bytes of an Arrow string column's values, one by one, null as empty: no second copy of the column."""
     for x in column:

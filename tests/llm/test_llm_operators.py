@@ -115,6 +115,19 @@ def test_bpe_small_blocks(spark, edge, monkeypatch):
 # 3: chunks
 
 
+def test_inputs_in_doubtful_order_are_written_first(spark, tmp_path):
+    """Blocks are named by their documents in order, so what comes out of a shuffle is read from a table."""
+    from quiremill.llm import common
+
+    spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    plain = docs.filter("doc_id > 3").select("doc_id", "text")
+    assert common.reread(plain, "x") is plain
+    for doubtful in (docs.repartition(5), docs.dropDuplicates(["text"]), docs.orderBy("text"), docs.withColumn("text", F.concat("text", F.rand().cast("string")))):
+        assert common.reread(doubtful, "x") is not doubtful
+        assert common.reread(doubtful, "x").count() == 50
+
+
 def test_chunks_cover_texts():
     rng = np.random.default_rng(1)
     for text in ("", "a", "é" * 1000, "日本語" * 200, "x" * 5000, "".join(map(chr, rng.integers(32, 1000, 3000)))):
