@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quiremill.functions.text import count_of, letters, words
+from quiremill.functions.text import count_of, letters, once, words
 
 # Frequent words of each language; the order decides ties.
 STOPWORDS = {
@@ -18,14 +18,10 @@ MORE = {
     "de": ("der", "die", "und", "das", "den", "ist", "nicht", "mit", "von", "für", "auf", "ein", "im", "sich", "zu"),
     "es": ("el", "los", "las", "del", "por", "con", "para", "una", "se", "no", "es", "su", "como", "y", "lo"),
 }
+# The blocks of Arabic letters.
 ARABIC = r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]"
 
 
-def bind(c: Column, use) -> Column:
-    """use(c), with c worked out once however often use names it."""
-    return F.transform(F.array(c), use)[0]
-
-
 def _among(known: tuple[str, ...]):
     return lambda w: w.isin(*known)
 
@@ -43,7 +39,7 @@ def measure(text: Column, lists: dict[str, tuple[str, ...]]) -> Column:
         n = letters(text)
         return F.struct(n.alias("letters"), (count_of(text, ARABIC) / F.greatest(n, F.lit(1))).alias("arabic"), *out)
 
-    return bind(words(text), scored)
+    return once(words(text), scored)
 
 
 def _best(m: Column, lists: dict[str, tuple[str, ...]]) -> Column:
@@ -66,8 +62,8 @@ def pick_default(m: Column, lists: dict[str, tuple[str, ...]] = STOPWORDS, defau
 
 
 def detect_strict(text: Column, lists: dict[str, tuple[str, ...]] = STOPWORDS) -> Column:
-    return bind(measure(text, lists), lambda m: pick_strict(m, lists))
+    return once(measure(text, lists), lambda m: pick_strict(m, lists))
 
 
 def detect_default(text: Column, lists: dict[str, tuple[str, ...]] = STOPWORDS, default: str = "tr", floor: float = 0.02) -> Column:
-    return bind(measure(text, lists), lambda m: pick_default(m, lists, default, floor))
+    return once(measure(text, lists), lambda m: pick_default(m, lists, default, floor))

@@ -6,6 +6,7 @@ import difflib
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,12 +38,24 @@ def osa(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else osa_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
 
 
+def _changes(a: str | None, b: str | None) -> list[dict]:
+    old, new = (a or "").split(), (b or "").split()
+    ops = [] if old == new else difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes()
+    return [{"op": op, "old": " ".join(old[i:j]), "new": " ".join(new[k:m]), "at": i} for op, i, j, k, m in ops if op != "equal"]
+
+
 @F.pandas_udf(CHANGES)
 def word_changes(a: pd.Series, b: pd.Series) -> pd.Series:
     """Changed word runs between two texts, in order."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        old, new = (x or "").split(), (y or "").split()
-        ops = [] if old == new else difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes()
-        out.append([{"op": op, "old": " ".join(old[i:j]), "new": " ".join(new[k:m]), "at": i} for op, i, j, k, m in ops if op != "equal"])
-    return pd.Series(out)
+    return pd.Series([_changes(x, y) for x, y in zip(a, b, strict=True)])
+
+
+def change_rows(pairs: DataFrame) -> DataFrame:
+    """doc_id, op, old, new, at: the changed word runs of pairs (doc_id, old text, new text), a row each."""
+
+    def run(frames):
+        for pdf in frames:
+            rows = [(d, c["op"], c["old"], c["new"], c["at"]) for d, x, y in pdf.itertuples(index=False) for c in _changes(x, y)]
+            yield pd.DataFrame(rows, columns=["doc_id", "op", "old", "new", "at"])
+
+    return pairs.mapInPandas(run, "doc_id long, op string, old string, new string, at long")

@@ -12,6 +12,7 @@ from quiremill.functions.lang import STOPWORDS
 from quiremill.operators import audit
 from quiremill.operators import documents as D
 from quiremill.plans.registry import LINES, WORDS, query
+from quiremill.plans.text_queries import refs_sql, space_sql
 from quiremill.sinks.covers import make_cover
 
 _EN = ", ".join(f"'{w}'" for w in STOPWORDS["en"])
@@ -63,10 +64,12 @@ def toc_parse(t):
     return audit.falling_to_null(e, ["p_brand"], "p_partkey", "no").select("p_partkey", "title", "no")
 
 
-@query("paragraph_repair", "O041, O039, O040", r"""
-WITH r AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(\p{L})-\n(\p{Ll})', '\1\2', 'g'), '\n+', ' ', 'g'),
-  '\s*[\(\[](?:bkz\.?\s*)?(?:s|p|sayfa)\.?\s*\d+(?:\s*[-–]\s*\d+)?[\)\]]', '', 'g'), '(\p{L})\[\d{1,3}\]', '\1', 'g'), '(\p{L})[¹²³⁴⁵⁶⁷⁸⁹⁰*]+', '\1', 'g') AS t FROM documents)
-SELECT doc_id, md5(regexp_replace(regexp_replace(t, '[|~^%&$#*]{2,}', '', 'g'), '(\p{L})([,;:!?])(\p{L})', '\1\2 \3', 'g')) AS digest FROM r WHERE NOT (length(t) <= 6 AND NOT regexp_matches(t, '\p{L}'))""")
+_JOINED = r"regexp_replace(regexp_replace(text, '(\p{L})-\n(\p{Ll})', '\1\2', 'g'), '\n+', ' ', 'g')"
+
+
+@query("paragraph_repair", "O041, O039, O040", rf"""
+WITH r AS (SELECT doc_id, {refs_sql(_JOINED)} AS t FROM documents)
+SELECT doc_id, md5({space_sql('t')}) AS digest FROM r WHERE NOT (length(t) <= 6 AND NOT regexp_matches(t, '\p{{L}}'))""")
 def paragraph_repair(t):
     """The repair rules in their fixed order; short texts of symbols alone are dropped."""
     out = F.col("text")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quiremill.functions import text as tx
-from quiremill.functions.udfs import osa, word_changes
+from quiremill.functions.udfs import change_rows, osa
 from quiremill.operators import documents as D
 from quiremill.operators import links
 from quiremill.operators import relational as R
@@ -222,8 +222,8 @@ def set_ops(t):
 @query("sequence_diff", "O104, O085")
 def sequence_diff(t):
     """Word changes between each text and its repaired form, as rows."""
-    c = F.col("text")
-    return t.documents.select("doc_id", F.explode(word_changes(c, tx.collapse_repeats(tx.space_punctuation(c)))).alias("x")).select("doc_id", "x.op", "x.old", "x.new", "x.at")
+    both = t.documents.select("doc_id", "text", tx.collapse_repeats(tx.space_punctuation(F.col("text"))).alias("repaired"))
+    return change_rows(both.filter("text <> repaired"))
 
 
 @query("corpus_changes", "O084, O024", r"""
@@ -258,8 +258,10 @@ def letter_repair(t):
 
 
 @query("spelling_guard", "O036", f"""
-WITH {WORDS}, k AS (SELECT doc_id, word, count(*) AS n FROM W GROUP BY doc_id, word)
-SELECT a.doc_id, a.word, a.n, coalesce(b.n, 0)::BIGINT AS other, a.n >= 2 AND b.n IS NULL AS keep FROM k a LEFT JOIN k b ON a.doc_id = b.doc_id AND b.word = replace(a.word, 'ou', 'o') WHERE contains(a.word, 'ou')""")
+WITH {WORDS}, k AS MATERIALIZED (SELECT doc_id, word, count(*) AS n FROM W GROUP BY doc_id, word),
+a AS MATERIALIZED (SELECT doc_id, word, n, replace(word, 'ou', 'o') AS fix FROM k WHERE contains(word, 'ou')),
+b AS MATERIALIZED (SELECT k.doc_id, k.word AS fix, k.n FROM k SEMI JOIN a ON k.doc_id = a.doc_id AND k.word = a.fix)
+SELECT a.doc_id, a.word, a.n, coalesce(b.n, 0)::BIGINT AS other, a.n >= 2 AND b.n IS NULL AS keep FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND a.fix = b.fix""")
 def spelling_guard(t):
     """A document's own spelling stays where it is used twice and the repaired one never."""
     k = D.tokens(t.documents).groupBy("doc_id", "word").agg(F.count("*").alias("n"))

@@ -86,15 +86,16 @@ def title_case_names(t):
 
 
 def _fold_sql(c: str) -> str:
-    s = f"translate(lower(translate({c}, 'İI', 'ii')), '{text.ACCENTED}', '{text.PLAIN}')"
-    for a, b in (("sh", "s"), ("th", "s"), ("kh", "h"), ("dh", "z"), ("gh", "g"), ("ch", "c")):
-        s = f"replace({s}, '{a}', '{b}')"
-    s = f"' ' || regexp_replace({s}, '[^a-z0-9]+', ' ', 'g') || ' '"
-    # No look-ahead here: the articles go in two passes, doubled letters one by one.
-    s = f"regexp_replace({s}, ' (?:al|el|ibn|abu|bin)( (?:al|el|ibn|abu|bin))* ', ' ', 'g')"
-    for x in "abcdefghijklmnopqrstuvwxyz":
+    quoted = lambda x: x.replace("'", "''")
+    s = f"replace(lower(replace({c}, 'İ', 'i')), '-', ' ')"
+    for a, b in text.FOLD_PAIRS:
+        s = f"replace({s}, '{quoted(a)}', '{b}')"
+    s = f"regexp_replace(translate({s}, '{text.MARKED}', '{text.UNMARKED}'), '\\p{{M}}+', '', 'g')"
+    s = f"regexp_replace({s}, '\\b(?:{'|'.join(text.FOLD_ARTICLES)})\\b', ' ', 'g')"
+    # No back-references here: doubled characters one by one.
+    for x in "abcdefghijklmnopqrstuvwxyz0123456789 ":
         s = f"replace({s}, '{x}{x}', '{x}')"
-    return f"' ' || trim(translate({s}, 'eoyj', 'auic'), ' ') || ' '"
+    return f"' ' || trim(regexp_replace(translate({s}, '{text.FOLD_FROM}', '{text.FOLD_TO}'), '[^a-z0-9]+', ' ', 'g'), ' ') || ' '"
 
 
 @query("fold_key", "O028", f"SELECT p_partkey, {_fold_sql('p_name')} AS k, {_fold_sql('p_type')} AS k2 FROM part")
@@ -136,28 +137,46 @@ def join_hyphens(t):
     return t.documents.select("doc_id", text.join_hyphens(F.col("text")).alias("t"))
 
 
-@query("punctuation_spacing", "O039", r"""
-SELECT doc_id, regexp_replace(regexp_replace(text, '[|~^%&$#*]{2,}', '', 'g'), '(\p{L})([,;:!?])(\p{L})', '\1\2 \3', 'g') AS t FROM documents""")
+#: SQL of text.space_punctuation and text.strip_refs on an expression.
+def space_sql(c: str) -> str:
+    return rf"regexp_replace(regexp_replace({c}, '\s*[{text.JUNK_GLYPHS}]{{2,}}\s*', ' ', 'g'), '(\p{{L}})([,;:!?])(\p{{L}})', '\1\2 \3', 'g')"
+
+
+def refs_sql(c: str) -> str:
+    mark = text.NOTE_MARK.replace("'", "''")
+    s = f"regexp_replace(regexp_replace({c}, '{text.PAGE_CITATION}', '', 'g'), '{text.BARE_CITATION}', '', 'g')"
+    for _ in range(2):
+        s = rf"regexp_replace({s}, '{mark}', '\1\2', 'g')"
+    return s
+
+
+@query("punctuation_spacing", "O039", f"SELECT doc_id, {space_sql('text')} AS t FROM documents")
 def punctuation_spacing(t):
     return t.documents.select("doc_id", text.space_punctuation(F.col("text")).alias("t"))
 
 
-@query("strip_refs", "O040", r"""
-SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\s*[\(\[](?:bkz\.?\s*)?(?:s|p|sayfa)\.?\s*\d+(?:\s*[-–]\s*\d+)?[\)\]]', '', 'g'),
-  '(\p{L})\[\d{1,3}\]', '\1', 'g'), '(\p{L})[¹²³⁴⁵⁶⁷⁸⁹⁰*]+', '\1', 'g') AS t FROM documents""")
+@query("strip_refs", "O040", f"SELECT doc_id, {refs_sql('text')} AS t FROM documents")
 def strip_refs(t):
     return t.documents.select("doc_id", text.strip_refs(F.col("text")).alias("t"))
 
 
-@query("collapse_repeats", "O038, O043")
+_RUN = " OR ".join("(" + " AND ".join(f"keys[i + {k}] = keys[i]" for k in range(first, first + 4) if k) + ")" for first in range(-3, 0))
+
+
+@query("collapse_repeats", "O038, O043", rf"""
+WITH p AS (SELECT doc_id, text, regexp_extract_all(text, '\s*\S+') AS ps FROM documents),
+k AS (SELECT doc_id, text, ps, list_transform(ps, lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '^[،,.]+([^،,.])', '\1')) AS keys FROM p),
+u AS (SELECT doc_id, unnest(range(1, len(ps) + 1)) AS i, ps, keys FROM k),
+c AS (SELECT doc_id, sum(length(ps[i])) AS n FROM u WHERE NOT coalesce(i > 1 AND length(keys[i]) <= 30 AND ({_RUN}), FALSE) GROUP BY doc_id)
+SELECT doc_id, (coalesce(n, 0) + length(regexp_extract(text, '(\s*)$', 1)))::BIGINT AS n FROM k LEFT JOIN c USING (doc_id)""")
 def collapse_repeats(t):
-    """Back-references are beyond the SQL side's regular expressions; tests compare with a loop."""
     return t.documents.select("doc_id", F.length(text.collapse_repeats(F.col("text"))).cast("long").alias("n"))
 
 
-@query("homoglyph_fix", "O038", r"""
-SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '\p{Latin}')) >= len(regexp_extract_all(text, '[\p{Cyrillic}\p{Greek}]'))
-  THEN translate(text, 'АВЕКМНОРСТХаеорсухΑΒΕΗΙΚΜΝΟΡΤΧο', 'ABEKMHOPCTXaeopcyxABEHIKMNOPTXo') ELSE text END AS t FROM documents""")
+@query("homoglyph_fix", "O038", rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(text, '{text.SLIPS}', '{text.SLIPS_RIGHT}'), '\S+|\s+') AS ws FROM documents),
+g AS (SELECT doc_id, array_to_string(list_transform(ws, lambda x: CASE WHEN regexp_matches(x, '[\x{{0370}}-\x{{03FF}}]') AND regexp_matches(x, '[A-Za-zÇĞİÖŞÜçğıöşüÂÎÛâîû]') THEN translate(x, '{text.GREEK}', '{text.GREEK_LATIN}') ELSE x END), '') AS t FROM w)
+SELECT doc_id, CASE WHEN len(regexp_extract_all(t, '[A-Za-zÇĞİÖŞÜçğıöşüÂÎÛâîû]')) >= len(regexp_extract_all(t, '[\x{{0400}}-\x{{04FF}}]')) OR length(trim(t, ' ')) <= 2 THEN translate(t, '{text.CYRILLIC}', '{text.CYRILLIC_LATIN}') ELSE t END AS t FROM g""")
 def homoglyph_fix(t):
     return t.documents.select("doc_id", text.fix_homoglyphs(F.col("text")).alias("t"))
 

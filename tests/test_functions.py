@@ -20,10 +20,20 @@ CASES = [
     (text.strip_refs, "plain (and whole) text", "plain (and whole) text"),
     (text.join_hyphens, "rea-\nding on\nnext", "reading on next"),
     (text.join_hyphens, "well-known", "well-known"),
-    (text.space_punctuation, "one,two ##junk", "one, two junk"),
+    (text.space_punctuation, "one,two ■□ junk", "one, two junk"),
+    (text.space_punctuation, "a # sign, C## and $$ stay", "a # sign, C## and $$ stay"),
+    (text.strip_refs, "bkz. s. 12 bare, (bkz. sh. 3-4) and [c. II, s. 45] in brackets", " bare, and in brackets"),
+    (text.strip_refs, "marks*, twice[1].[2] and (3) but not 5*3 or f(x)", "marks, twice. and but not 5*3 or f(x)"),
     (text.collapse_repeats, "go go go go go on", "go on"),
     (text.collapse_repeats, "go go go on", "go go go on"),
     (text.fix_homoglyphs, "Mоdern hоuse", "Modern house"),
+    (text.fix_homoglyphs, "bεy ve λόγος șu", "bey ve λόγος şu"),
+    (text.collapse_repeats, "a  go go ,go go\ngo  b ", "a  go  b "),
+    (text.collapse_repeats, "x x x x y y y y", "x y"),
+    (text.collapse_repeats, "1 2 1 2 1 2 1 2", "1 2 1 2 1 2 1 2"),
+    (text.collapse_repeats, "", ""),
+    (text.fold_key, "al-Ghazzālī, Kitāb", " gazali kitab "),
+    (text.fold_arabic, "الأُمَّة", "الامه"),
     (text.fix_homoglyphs, "Москва", "Москва"),
     (text.json_first, 'ok ```json\n[1, {"a": 2}]\n``` end', '[1, {"a": 2}]'),
     (text.json_first, "none here", None),
@@ -37,7 +47,7 @@ def test_text(spark, f, before, after):
 
 
 def test_fold_key_gathers_spellings(spark):
-    rows = spark.createDataFrame([("Khalid",), ("Halid",), ("HÂLİD",)], "c string").select(text.fold_key(F.col("c"))).distinct()
+    rows = spark.createDataFrame([("Khalid",), ("Halid",), ("HÂLİD",), ("al-Khālid",)], "c string").select(text.fold_key(F.col("c"))).distinct()
     assert rows.count() == 1
 
 
@@ -81,3 +91,23 @@ def test_spoken(spark, before, after):
     from quiremill.functions.spoken import spoken
 
     assert spark.createDataFrame([(before,)], "c string").select(spoken(F.col("c"))).first()[0] == after
+
+
+def test_repeats_equal_loop(spark):
+    import random
+
+    rng = random.Random(5)
+    data = [("".join(rng.choice(["go", "on", "a", ",go", ".", "x" * 31]) + rng.choice([" ", "  ", "\n"]) for _ in range(rng.randint(0, 40))),) for _ in range(150)]
+    for before, after in spark.createDataFrame(data, "c string").select("c", text.collapse_repeats(F.col("c"))).collect():
+        import re
+
+        pieces = re.findall(r"\s*\S+", before)
+        keys = [re.sub(r"^[،,.]+(?=[^،,.])", "", p.strip()) for p in pieces]
+        out, i = [], 0
+        while i < len(keys):
+            j = i
+            while j < len(keys) and keys[j] == keys[i]:
+                j += 1
+            out += pieces[i : i + 1] if j - i >= 4 and len(keys[i]) <= 30 else pieces[i:j]
+            i = j
+        assert after == "".join(out) + re.search(r"\s*$", before)[0]
