@@ -116,3 +116,41 @@ def edit_state(edits: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("seq"))
     ranked = edits.withColumn("r", F.row_number().over(w)).filter("r <= 2")
     return ranked.groupBy(*keys).agg(F.max(F.when(F.col("r") == 1, F.col("value"))).alias("current"), F.max(F.when(F.col("r") == 2, F.col("value"))).alias("undone"))
+
+
+def modal_offset(labels: DataFrame, keys: list[str], at: str, label: str, votes: int = 2) -> DataFrame:
+    """keys, modal, n: the commonest difference between a label and its place in order, with so many votes; ties to the least."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(at))
+    counts = labels.withColumn("modal", F.col(label) - place).groupBy(*keys, "modal").agg(F.count("*").alias("n"))
+    best = counts.groupBy(*keys).agg(F.max(F.struct("n", (-F.col("modal")).alias("k"))).alias("b"))
+    return best.select(*keys, (-F.col("b.k")).alias("modal"), F.col("b.n").alias("n")).filter(F.col("n") >= votes)
+
+
+def series_gate(numbers: DataFrame, keys: list[str], value: str, low: int, high: int, least: int = 8, share: float = 0.7) -> DataFrame:
+    """keys, n, share, series: whether a column of numbers is a series: `least` of them, of whose steps a share lies between low and high."""
+    step = F.lead(value).over(Window.partitionBy(*keys).orderBy(value)) - F.col(value)
+    good = F.when(F.col("_step").between(low, high), 1.0).when(F.col("_step").isNotNull(), 0.0)
+    g = numbers.withColumn("_step", step).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(good).alias("share"))
+    return g.withColumn("series", (F.col("n") >= least) & (F.col("share") >= share))
+
+
+def page_number(lines_: DataFrame, keys: list[str], order: list[str], value: str, sure: Column) -> DataFrame:
+    """keys, sure, no: a page's number, from its first or last line; the surer reading, then the earlier line, decides."""
+    up, down = Window.partitionBy(*keys).orderBy(*order), Window.partitionBy(*keys).orderBy(*map(F.desc, order))
+    edge = lines_.withColumn("_up", F.row_number().over(up)).withColumn("_down", F.row_number().over(down)).filter("_up = 1 OR _down = 1")
+    edge = edge.withColumn("_sure", sure).filter("_sure IS NOT NULL")
+    return edge.groupBy(*keys).agg(F.max("_sure").alias("sure"), F.max_by(value, F.struct("_sure", -F.col(order[0]), value)).alias("no"))
+
+
+def free_positions(covered: DataFrame, keys: list[str], position: str, low: int, high: int) -> DataFrame:
+    """keys, free, first_free: places from low to high that nothing covers (the gutter of a page of two columns), for each key with a row."""
+    places = covered.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(low).cast("long"), F.lit(high).cast("long"))).alias(position))
+    free = places.join(covered.filter(F.col(position).isNotNull()).select(*keys, position).distinct(), [*keys, position], "left_anti")
+    return free.groupBy(*keys).agg(F.count("*").alias("free"), F.min(position).alias("first_free"))
+
+
+def split_notes(paged: DataFrame) -> DataFrame:
+    """Lines of pages with `is_note`: from a page's first numbered line on."""
+    numbered = F.when(F.col("line").rlike(r"^\d{1,3}[.)]? \p{L}"), F.col("line_no"))
+    first = F.min(numbered).over(Window.partitionBy("doc_id", "page_no"))
+    return paged.withColumn("is_note", F.coalesce(F.col("line_no") >= first, F.lit(False)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -106,6 +106,72 @@ def repair_words(words: DataFrame, lexicon: DataFrame, swaps: list[tuple[str, st
     return best.filter(second.isNull() | (first["k"] <= 3 * second["k"])).select("word", first["fix"].alias("fix"), (-first["k"]).alias("n"))
 
 
+# Pairs of letters that recognition confuses (read, meant), in the order in which they are tried; vowels among them;
+# words of two letters that are repaired all the same.
+CONFUSED = (
+    ("nn", "rı"), ("nn", "rın"), ("nn", "ın"), ("m", "ın"), ("rn", "m"), ("ii", "ü"), ("vc", "ve"), ("hir", "bir"),
+    ("hi", "bi"), ("ih", "ib"), ("h", "lı"), ("h", "li"), ("h", "l"), ("h", "b"), ("c", "e"), ("i", "ı"), ("ı", "i"), ("s", "ş"), ("c", "ç"),
+    ("g", "ğ"), ("u", "ü"), ("o", "ö"), ("l", "ı"), ("t", "i"), ("ü", "u"), ("ö", "o"),
+)
+SHORT_CONFUSED = ("vc", "cn", "kı")
+
+
+def repair_in_document(words: DataFrame, lexicon: DataFrame, pairs=CONFUSED, short=SHORT_CONFUSED, least: int = 2, ratio: int = 3) -> DataFrame:
+    """doc_id, word, fix, n: words (doc_id, word, n) outside the lexicon, each with the word that one confused pair, at one place, makes of it.
+
+    The fix is a word of the lexicon that the same document uses `least` times; the only one, or one `ratio` times as frequent there as the next.
+    Words under three letters (but `short`) and Roman numerals are left alone. Joins are on (document, word): a document's vocabulary never
+    meets as a whole in one task.
+    """
+    known = lexicon.select("word")
+    bad = words.join(known, "word", "left_anti").filter((F.length("word") >= 3) | F.col("word").isin(*short))
+    bad = bad.filter(~F.col("word").rlike("^[ivxlcdmı]+$") | F.col("word").isin(*short)).select("doc_id", "word")
+    table = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs))
+    place = F.sequence(F.lit(1), F.length("word"))
+    made = bad.select("doc_id", "word", F.explode(table).alias("p")).filter(F.contains("word", F.col("p.a"))).withColumn("i", F.explode(place))
+    made = made.filter(F.substr("word", F.col("i"), F.length("p.a")) == F.col("p.a"))
+    fix = F.concat(F.substr("word", F.lit(1), F.col("i") - 1), F.col("p.b"), F.substr("word", F.col("i") + F.length("p.a")))
+    made = made.select("doc_id", "word", fix.alias("fix")).filter("fix <> word").distinct()
+    used = words.filter(F.col("n") >= least).join(known, "word", "left_semi").select("doc_id", F.col("word").alias("fix"), "n")
+    best = made.join(used, ["doc_id", "fix"]).groupBy("doc_id", "word").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "fix"))).alias("c"))
+    first, second = F.col("c")[0], F.get("c", F.lit(1))
+    return best.filter(second.isNull() | (-first["k"] >= ratio * -second["k"])).select("doc_id", "word", first["fix"].alias("fix"), (-first["k"]).alias("n"))
+
+
+def divided_words(lines: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """doc_id, line_no, left, right, verdict: words that a hyphen divides at the end of a line, and whether its halves belong together.
+
+    lines: doc_id, line_no, line. 'join' where the whole is a word, or where the halves are not both words; 'keep' (the hyphen) where both are and
+    the whole is none. Each distinct pair is looked up once.
+    """
+    after = F.lead("line").over(Window.partitionBy("doc_id").orderBy("line_no"))
+    cut = lines.withColumn("_next", after).filter(F.col("line").rlike(r"\p{L}{2,}[-‐]\s*$") & F.col("_next").rlike(r"^\s*\p{Ll}{2,}"))
+    cut = cut.select("doc_id", "line_no", F.lower(F.regexp_extract("line", r"(\p{L}{2,})[-‐]\s*$", 1)).alias("left"), F.regexp_extract("_next", r"^\s*(\p{Ll}{2,})", 1).alias("right"))
+    pairs = cut.select("left", "right").distinct().withColumn("whole", F.concat("left", "right"))
+    for c in ("left", "right", "whole"):
+        pairs = pairs.join(lexicon.select(F.col("word").alias(c), F.lit(True).alias(f"{c}_ok")), c, "left")
+    keep = F.col("left_ok").isNotNull() & F.col("right_ok").isNotNull() & F.col("whole_ok").isNull()
+    return cut.join(pairs.select("left", "right", F.when(keep, "keep").otherwise("join").alias("verdict")), ["left", "right"]).select("doc_id", "line_no", "left", "right", "verdict")
+
+
+def link_equi(refs: DataFrame, notes: DataFrame, keys: list[str], at: list[str]) -> DataFrame:
+    """notes with `ref`: the first reference (a struct of `at`, least first) of their number on their page; notes without one are left out."""
+    first = refs.groupBy(*keys).agg(F.min(F.struct(*at)).alias("ref"))
+    return notes.join(first, keys)
+
+
+def sides(pairs: DataFrame, a: str, b: str, several: int = 2) -> DataFrame:
+    """Distinct pairs with the partners each side has, `swapped` where only a has several, and the pair set right as `one` and `many`.
+
+    One side of a pair (a title) goes with one of the other (its author), who has several: where the sides are the wrong way
+    round, a has the partners.
+    """
+    p = pairs.select(a, b).distinct()
+    j = p.join(p.groupBy(a).agg(F.count("*").alias("n_a")), a).join(p.groupBy(b).agg(F.count("*").alias("n_b")), b)
+    j = j.withColumn("swapped", (F.col("n_a") >= several) & (F.col("n_b") < several))
+    return j.withColumn("one", F.when(F.col("swapped"), F.col(b)).otherwise(F.col(a))).withColumn("many", F.when(F.col("swapped"), F.col(a)).otherwise(F.col(b)))
+
+
 def repair_by_skeleton(words: DataFrame, lexicon: DataFrame, skeleton) -> DataFrame:
     """word, fix, n: for words outside the lexicon, the most frequent word of it with the same skeleton (letters without their marks)."""
     bad = words.select("word").distinct().join(lexicon.select("word"), "word", "left_anti").withColumn("skeleton", skeleton(F.col("word")))
@@ -116,8 +182,6 @@ def repair_by_skeleton(words: DataFrame, lexicon: DataFrame, skeleton) -> DataFr
 def merge_split_words(lines: DataFrame, lexicon: DataFrame) -> DataFrame:
     """doc_id, line_no, pos, joined: neighbours of which one is no word while both together are one."""
     toks = lines.select("doc_id", "line_no", F.posexplode(F.regexp_extract_all(F.lower("line"), F.lit(r"(\p{L}+)"), 1)).alias("pos", "word"))
-    from pyspark.sql import Window
-
     nxt = toks.withColumn("next", F.lead("word").over(Window.partitionBy("doc_id", "line_no").orderBy("pos"))).filter("next IS NOT NULL")
     lex = lexicon.select("word")
     joined = nxt.withColumn("joined", F.concat("word", "next")).join(lex.withColumnRenamed("word", "joined"), "joined", "left_semi")

@@ -26,11 +26,33 @@ def range_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, lo
     return p.join(s, [*keys, "_bucket"]).filter(F.col(at).between(F.col(lo), F.col(hi))).drop("_bucket")
 
 
-def fuzzy_match(left: DataFrame, right: DataFrame, block: list[str], a: str, b: str, most: Column) -> DataFrame:
-    """Pairs of a block whose a and b differ by `most` edits at most; the least distance and value first for each a."""
-    pairs = left.join(right, block).withColumn("distance", F.levenshtein(a, b).cast("long")).filter(F.col("distance") <= most)
-    w = Window.partitionBy(*block, a).orderBy("distance", b)
-    return pairs.withColumn("rank", F.row_number().over(w)).filter("rank = 1").drop("rank")
+def _cut(size: Column, most: int) -> Column:
+    """Starts (from 0) and lengths of the most + 1 even segments of a string of `size` characters, with their numbers."""
+    parts = most + 1
+    start = lambda i: F.floor(size * i / F.lit(parts)).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct(i.alias("part"), start(i).alias("start"), (start(i + 1) - start(i)).alias("size")))
+
+
+def fuzzy_match(left: DataFrame, right: DataFrame, block: list[str], a: str, b: str, most: int) -> DataFrame:
+    """block, a, b, distance: for each a of a block the b of the least edit distance, up to `most`; ties to the first in order.
+
+    Of most + 1 segments of b one at least stands unchanged in any a within `most` edits, moved by `most` at the furthest. So pairs meet by
+    equality on (block, length of b, segment): no all-pairs join in a large block. Distances are then exact. Nulls match nothing.
+    """
+    x = left.select(*block, a).filter(F.col(a).isNotNull()).distinct()
+    y = right.select(*block, b).filter(F.col(b).isNotNull()).distinct()
+    size = F.length(b)
+    cut = y.withColumn("_n", size).withColumn("_s", F.explode(_cut(size, most)))
+    cut = cut.select(*block, b, "_n", F.col("_s.part").alias("_part"), F.substr(F.col(b), F.col("_s.start") + 1, F.col("_s.size")).alias("_seg"))
+    lengths = F.sequence(F.greatest(F.lit(0), F.length(a) - most), F.length(a) + most)
+    tried = x.withColumn("_n", F.explode(lengths)).withColumn("_s", F.explode(_cut(F.col("_n"), most))).withColumn("_move", F.explode(F.sequence(F.lit(-most), F.lit(most))))
+    at = F.col("_s.start") + F.col("_move")
+    tried = tried.filter((at >= 0) & (at + F.col("_s.size") <= F.length(a)))
+    tried = tried.select(*block, a, "_n", F.col("_s.part").alias("_part"), F.substr(F.col(a), at + 1, F.col("_s.size")).alias("_seg")).distinct()
+    pairs = tried.join(cut, [*block, "_n", "_part", "_seg"]).select(*block, a, b).distinct()
+    pairs = pairs.withColumn("distance", F.levenshtein(a, b, most).cast("long")).filter("distance >= 0")
+    best = pairs.groupBy(*block, a).agg(F.min(F.struct("distance", b)).alias("_best"))
+    return best.select(*block, a, F.col(f"_best.{b}").alias(b), F.col("_best.distance").alias("distance"))
 
 
 def orphans(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +10,7 @@ from quiremill.functions import text as tx
 from quiremill.functions.lang import STOPWORDS
 from quiremill.operators import audit
 from quiremill.operators import documents as D
+from quiremill.operators import links
 from quiremill.plans.registry import LINES, WORDS, query
 from quiremill.plans.text_queries import refs_sql, space_sql
 from quiremill.sinks.covers import make_cover
@@ -45,11 +45,9 @@ c AS (SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_quantity < 10 THE
 SELECT l_orderkey AS page, max(sure)::BIGINT AS sure, max_by(l_quantity, (sure, -l_linenumber, l_quantity)) AS no FROM c GROUP BY l_orderkey""")
 def page_numbers(t):
     """A page's number: from its first or last line, certain readings before guesses."""
-    by = ["l_linenumber", "l_suppkey", "l_quantity"]
-    w, v = Window.partitionBy("l_orderkey").orderBy(*by), Window.partitionBy("l_orderkey").orderBy(*map(F.desc, by))
-    c = t.lineitem.withColumn("lo", F.row_number().over(w)).withColumn("hi", F.row_number().over(v)).filter("(lo = 1 OR hi = 1) AND l_quantity < 40")
-    c = c.withColumn("sure", F.when(F.col("l_quantity") < 10, 2).otherwise(1).cast("long"))
-    return c.groupBy(F.col("l_orderkey").alias("page")).agg(F.max("sure").alias("sure"), F.max_by("l_quantity", F.struct("sure", -F.col("l_linenumber"), "l_quantity")).alias("no"))
+    sure = F.when(F.col("l_quantity") < 10, 2).when(F.col("l_quantity") < 40, 1).cast("long")
+    li = t.lineitem.select(F.col("l_orderkey").alias("page"), "l_linenumber", "l_suppkey", "l_quantity")
+    return D.page_number(li, ["page"], ["l_linenumber", "l_suppkey", "l_quantity"], "l_quantity", sure)
 
 
 @query("toc_parse", "O097", r"""
@@ -91,20 +89,19 @@ def audit_apply(t):
     return d.select("doc_id", "text", spans.alias("spans")).select("doc_id", F.md5(audit.wrap_spans(F.col("text"), F.col("spans"), "<", ">")).alias("digest"), F.size("spans").cast("long").alias("spans"))
 
 
-@query("hyphen_lexicon", "O033", f"""
-WITH {WORDS}, lex AS (SELECT word FROM W GROUP BY word HAVING count(DISTINCT doc_id) >= 3), p AS (SELECT DISTINCT doc_id, word FROM W WHERE length(word) >= 8),
-h AS (SELECT doc_id, word, left(word, (length(word) // 2)::INT) AS a, right(word, (length(word) - length(word) // 2)::INT) AS b FROM p)
-SELECT doc_id, h.word, CASE WHEN x.word IS NOT NULL AND y.word IS NOT NULL AND z.word IS NULL THEN 'keep' ELSE 'join' END AS verdict FROM h LEFT JOIN lex x ON x.word = a LEFT JOIN lex y ON y.word = b LEFT JOIN lex z ON z.word = h.word""")
+@query("hyphen_lexicon", "O033", rf"""
+WITH {WORDS}, lex AS (SELECT word FROM W GROUP BY word HAVING count(DISTINCT doc_id) >= 3),
+s AS (SELECT doc_id, string_split(regexp_replace(text, '([^\n]{{45}}\p{{L}}{{2}})(\p{{Ll}}{{2}})', '\1-' || chr(10) || '\2', 'g'), chr(10)) AS l FROM documents),
+u AS (SELECT doc_id, unnest(range(len(l))) AS line_no, l FROM s),
+h AS (SELECT doc_id, line_no, lower(regexp_extract(l[line_no + 1], '(\p{{L}}{{2,}})[-‐]\s*$', 1)) AS a, regexp_extract(l[line_no + 2], '^\s*(\p{{Ll}}{{2,}})', 1) AS b
+  FROM u WHERE regexp_matches(l[line_no + 1], '\p{{L}}{{2,}}[-‐]\s*$') AND regexp_matches(l[line_no + 2], '^\s*\p{{Ll}}{{2,}}'))
+SELECT h.doc_id, h.line_no, a AS "left", b AS "right", CASE WHEN x.word IS NOT NULL AND y.word IS NOT NULL AND z.word IS NULL THEN 'keep' ELSE 'join' END AS verdict
+FROM h LEFT JOIN lex x ON x.word = a LEFT JOIN lex y ON y.word = b LEFT JOIN lex z ON z.word = a || b""")
 def hyphen_lexicon(t):
-    """Words divided in the middle: the hyphen stays where both halves are words and the whole is none. Each distinct word is decided once."""
-    p = D.tokens(t.documents).filter(F.length("word") >= 8).distinct()
-    half = F.floor(F.length("word") / 2).cast("int")
-    h = p.select("word").distinct().withColumn("a", F.substr("word", F.lit(1), half)).withColumn("b", F.substr("word", half + 1))
-    lex = D.lexicon(t.documents).select("word")
-    for c in ("a", "b", "word"):
-        h = h.join(lex.select(F.col("word").alias(c), F.lit(True).alias(f"{c}_ok")), c, "left")
-    keep = F.col("a_ok").isNotNull() & F.col("b_ok").isNotNull() & F.col("word_ok").isNull()
-    return p.join(h.select("word", F.when(keep, "keep").otherwise("join").alias("verdict")), "word").select("doc_id", "word", "verdict")
+    """Words divided at line ends. The texts are first set in lines of about fifty characters, as print does; the lexicon, of the texts
+    as they are, then tells where the halves belong together."""
+    set_ = F.regexp_replace("text", r"([^\n]{45}\p{L}{2})(\p{Ll}{2})", "$1-\n$2")
+    return links.divided_words(D.lines(t.documents.select("doc_id", set_.alias("text"))), D.lexicon(t.documents))
 
 
 @query("doc_report", "O083, O088, O024", f"""

@@ -120,10 +120,8 @@ d AS (SELECT o_custkey, label - i AS off, count(*) AS n FROM o GROUP BY ALL), b
 SELECT o_custkey, off AS modal, n FROM b WHERE r = 1 AND n >= 2""")
 def mode_offset(t):
     """The most common offset between a label and its place, with two votes at least."""
-    i = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    o = t.orders.select("o_custkey", (F.floor(F.col("o_totalprice") / 1000) % 7 - i).alias("off"))
-    d = o.groupBy("o_custkey", "off").agg(F.count("*").alias("n"))
-    return R.top_k(d, ["o_custkey"], [F.desc("n"), F.col("off")], 1).filter("n >= 2").select("o_custkey", F.col("off").alias("modal"), "n")
+    o = t.orders.select("o_custkey", "o_orderkey", (F.floor(F.col("o_totalprice") / 1000) % 7).alias("label"))
+    return D.modal_offset(o, ["o_custkey"], "o_orderkey", "label")
 
 
 @query("local_mode", "O078", """
@@ -153,11 +151,7 @@ WITH d AS (SELECT o_custkey, o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_c
 g AS (SELECT o_custkey, count(*) AS n, avg(CASE WHEN step BETWEEN 1 AND 300 THEN 1.0 WHEN step IS NOT NULL THEN 0.0 END) AS share FROM d GROUP BY o_custkey)
 SELECT o_custkey, n, round(share, 6) AS share, n >= 8 AND share >= 0.7 AS series FROM g""")
 def margin_series_gate(t):
-    step = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - F.col("o_orderkey")
-    d = t.orders.withColumn("step", step)
-    ok = F.when(F.col("step").between(1, 300), 1.0).when(F.col("step").isNotNull(), 0.0)
-    g = d.groupBy("o_custkey").agg(F.count("*").alias("n"), F.avg(ok).alias("share"))
-    return g.select("o_custkey", "n", F.round("share", 6).alias("share"), ((F.col("n") >= 8) & (F.col("share") >= 0.7)).alias("series"))
+    return D.series_gate(t.orders, ["o_custkey"], "o_orderkey", 1, 300).withColumn("share", F.round("share", 6))
 
 
 @query("gap_clusters", "O057, O097", """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quiremill.functions import text as tx
 from quiremill.functions.udfs import change_rows, osa
+from quiremill.operators import audit
 from quiremill.operators import documents as D
 from quiremill.operators import links
 from quiremill.operators import relational as R
@@ -34,10 +35,9 @@ WITH r AS (SELECT l_orderkey AS page, l_linenumber AS no, l_partkey AS pos, l_su
 SELECT page, no, pos AS ref_pos, o_custkey AS note_id FROM r JOIN orders ON page = o_orderkey AND no = o_custkey % 7 + 1 WHERE k = 1""")
 def note_link_equi(t):
     """Notes (here: orders, each with a number) to the first reference of their number on their page (line items)."""
-    r = t.lineitem.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("no"), F.struct(F.col("l_partkey").alias("pos"), "l_suppkey").alias("r"))
-    first = r.groupBy("page", "no").agg(F.min("r").alias("r"))
+    r = t.lineitem.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("no"), F.col("l_partkey").alias("pos"), "l_suppkey")
     notes = t.orders.select(F.col("o_orderkey").alias("page"), (F.col("o_custkey") % 7 + 1).cast("int").alias("no"), F.col("o_custkey").alias("note_id"))
-    return first.join(notes, ["page", "no"]).select("page", "no", F.col("r.pos").alias("ref_pos"), "note_id")
+    return links.link_equi(r, notes, ["page", "no"], ["pos", "l_suppkey"]).select("page", "no", F.col("ref.pos").alias("ref_pos"), "note_id")
 
 
 @query("note_orphans", "O072", f"""
@@ -115,7 +115,7 @@ SELECT p_brand, a, b, distance FROM r WHERE n = 1""")
 def fuzzy_match(t):
     a = t.part.select("p_brand", F.col("p_type").alias("a")).distinct()
     b = t.part.select("p_brand", F.concat(F.expr("left(p_type, length(p_type) - 1)"), F.lit("x")).alias("b")).distinct()
-    return R.fuzzy_match(a, b, ["p_brand"], "a", "b", F.lit(3))
+    return R.fuzzy_match(a, b, ["p_brand"], "a", "b", 3)
 
 
 @query("edit_distance", "O107", """
@@ -149,12 +149,11 @@ def name_join(t):
 
 @query("side_inference", "O069", """
 WITH p AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem), x AS (SELECT a, count(*) AS na FROM p GROUP BY a), y AS (SELECT b, count(*) AS nb FROM p GROUP BY b)
-SELECT count(*) AS pairs, count(*) FILTER (WHERE na >= 2 AND nb < 2) AS swaps, count(*) FILTER (WHERE nb >= 2 AND na < 2) AS keeps FROM p JOIN x ON p.a = x.a JOIN y ON p.b = y.b""")
+SELECT p.a, p.b, na >= 2 AND nb < 2 AS swapped, CASE WHEN na >= 2 AND nb < 2 THEN p.b ELSE p.a END AS one, CASE WHEN na >= 2 AND nb < 2 THEN p.a ELSE p.b END AS many FROM p JOIN x ON p.a = x.a JOIN y ON p.b = y.b""")
 def side_inference(t):
-    """Which side of a pair has several partners: distinct pairs, counted from both sides."""
-    p = t.lineitem.select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
-    j = p.join(p.groupBy("a").agg(F.count("*").alias("na")), "a").join(p.groupBy("b").agg(F.count("*").alias("nb")), "b")
-    return j.agg(F.count("*").alias("pairs"), F.count_if((F.col("na") >= 2) & (F.col("nb") < 2)).alias("swaps"), F.count_if((F.col("nb") >= 2) & (F.col("na") < 2)).alias("keeps"))
+    """Which side of a pair has several partners; pairs the wrong way round are swapped."""
+    p = t.lineitem.select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"))
+    return links.sides(p, "a", "b").select("a", "b", "swapped", "one", "many")
 
 
 @query("lexicon_semi", "O071, O115", f"""
@@ -237,14 +236,26 @@ def corpus_changes(t):
     return c.filter("docs >= 2").orderBy(F.desc("docs"), F.desc("n"), "old").limit(150).select("old", F.regexp_replace("old", r"[|~^%&$#*]+$", "").alias("new"), "docs", "n")
 
 
+_PAIRS = ", ".join(f"('{a}', '{b}')" for a, b in links.CONFUSED)
+
+
 @query("confusion_repair", "O035, O037", f"""
-WITH {WORDS}, lex AS (SELECT word, count(DISTINCT doc_id) AS n FROM W GROUP BY word HAVING count(DISTINCT doc_id) >= 3),
-bad AS (SELECT DISTINCT word FROM W WHERE word NOT IN (SELECT word FROM lex)),
-c AS (SELECT DISTINCT word, unnest([replace(word, 'rn', 'm'), replace(word, 'l', 'i'), replace(word, 'e', 'c'), replace(word, 'h', 'b'), replace(word, 'ou', 'o')]) AS fix FROM bad),
-j AS (SELECT c.word, c.fix, lex.n, row_number() OVER (PARTITION BY c.word ORDER BY lex.n DESC, c.fix) AS r, lead(lex.n) OVER (PARTITION BY c.word ORDER BY lex.n DESC, c.fix) AS nxt FROM c JOIN lex ON c.fix = lex.word WHERE c.fix <> c.word)
-SELECT word, fix, n FROM j WHERE r = 1 AND (nxt IS NULL OR n >= 3 * nxt)""")
+WITH {WORDS}, {LINES}, lex AS MATERIALIZED (SELECT word FROM W GROUP BY word HAVING count(DISTINCT doc_id) >= 3),
+x AS (SELECT doc_id, unnest(regexp_extract_all(lower(CASE WHEN line_no % 4 = 1 THEN replace(line, 'b', 'h') ELSE line END), '\\p{{L}}+')) AS word FROM L),
+k AS MATERIALIZED (SELECT doc_id, word, count(*) AS n FROM x GROUP BY doc_id, word),
+bad AS MATERIALIZED (SELECT doc_id, word FROM k WHERE word NOT IN (SELECT word FROM lex) AND (length(word) >= 3 OR word IN ('vc', 'cn', 'kı')) AND (NOT regexp_full_match(word, '[ivxlcdmı]+') OR word IN ('vc', 'cn', 'kı'))),
+p(a, b) AS (VALUES {_PAIRS}),
+m AS (SELECT doc_id, word, a, b, unnest(range(1, length(word) + 1)) AS i FROM bad JOIN p ON contains(word, a)),
+c AS (SELECT DISTINCT doc_id, word, word[1:i - 1] || b || substr(word, i + length(a)) AS fix FROM m WHERE substr(word, i, length(a)) = a),
+j AS (SELECT c.doc_id, c.word, c.fix, k.n, row_number() OVER v AS r, lead(k.n) OVER v AS nxt FROM c JOIN k ON k.doc_id = c.doc_id AND k.word = c.fix AND k.n >= 2 JOIN lex ON lex.word = c.fix
+  WHERE c.fix <> c.word WINDOW v AS (PARTITION BY c.doc_id, c.word ORDER BY k.n DESC, c.fix))
+SELECT doc_id, word, fix, n FROM j WHERE r = 1 AND (nxt IS NULL OR n >= 3 * nxt)""")
 def confusion_repair(t):
-    return links.repair_words(D.tokens(t.documents), D.lexicon(t.documents), [("rn", "m"), ("l", "i"), ("e", "c"), ("h", "b"), ("ou", "o")])
+    """A document's misread words, by what the same document writes elsewhere. Every fourth line is read, as recognition does, with h for b;
+    the lexicon is of the texts as they are."""
+    ls = D.lines(t.documents).select("doc_id", F.when(F.col("line_no") % 4 == 1, F.replace("line", F.lit("b"), F.lit("h"))).otherwise(F.col("line")).alias("text"))
+    words = D.tokens(ls).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    return links.repair_in_document(words, D.lexicon(t.documents))
 
 
 @query("letter_repair", "O035", f"""
@@ -289,12 +300,13 @@ def word_candidates(t):
 
 @query("toc_match", "O066, O097, O098")
 def toc_match(t):
-    """A document's heading lines against its later lines: contents entries found again, in order."""
-    ls = D.lines(t.documents)
+    """Contents lines (title, leaders, page), as a printed contents page has them in capitals, parsed and found again, in order, among all heading-like lines."""
+    ls = D.pages(t.documents)
     c = F.col("line")
     heads = ls.filter((F.length(c) <= 60) & c.rlike(r"^\p{Lu}") & tx.count_of(c, r"\S+").between(1, 6))
-    entries = heads.select("doc_id", F.col("line_no").alias("seq"), F.col("line").alias("title"))
-    return links.match_contents(entries, heads.select("doc_id", F.col("line_no").alias("pos"), F.regexp_replace("line", r"[.!?]$", "").alias("title")))
+    printed = heads.filter("line_no % 3 <> 1").select("doc_id", F.col("line_no").alias("seq"), F.concat(F.upper(F.regexp_replace("line", r"[.!?]$", "")), F.lit(" ..... "), F.col("page_no") + 1).alias("line"))
+    entries = audit.contents_entries(printed).select("doc_id", "seq", "title")
+    return links.match_contents(entries, heads.select("doc_id", F.col("line_no").alias("pos"), F.col("line").alias("title")))
 
 
 @query("header_clusters", "O081")

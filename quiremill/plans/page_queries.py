@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quiremill.operators import documents as D
 from quiremill.operators import links
-from quiremill.plans.registry import query
+from quiremill.plans.registry import LINES, query
 from quiremill.sinks.books import render
 from quiremill.sources.html import html_blocks as blocks_of
 from quiremill.sources.html import html_links as links_of
@@ -52,14 +51,14 @@ def render_books(t):
     return made.select("job_id", "format", F.octet_length("bytes").cast("long").alias("size"), F.md5("bytes").alias("digest"))
 
 
-@query("footnote_split", "O093")
+@query("footnote_split", "O093", f"""
+WITH {LINES}, P AS (SELECT *, line_no // 5 AS page_no FROM L),
+f AS (SELECT *, min(CASE WHEN regexp_matches(line, '^\\d{{1,3}}[.)]? \\p{{L}}') THEN line_no END) OVER (PARTITION BY doc_id, page_no) AS first FROM P)
+SELECT doc_id, page_no, count(*) FILTER (WHERE line_no >= first) AS notes, count(*) FILTER (WHERE first IS NULL OR line_no < first) AS body FROM f GROUP BY doc_id, page_no""")
 def footnote_split(t):
     """Lines of a page from its first numbered line on are notes; the rest is the body."""
-    p = D.pages(t.documents)
-    w = Window.partitionBy("doc_id", "page_no")
-    first = F.min(F.when(F.col("line").rlike(r"^\d{1,3}[.)]? \p{L}"), F.col("line_no"))).over(w)
-    s = p.withColumn("first", first)
-    return s.groupBy("doc_id", "page_no").agg(F.count_if(F.col("line_no") >= F.col("first")).alias("notes"), F.count_if(F.col("first").isNull() | (F.col("line_no") < F.col("first"))).alias("body"))
+    s = D.split_notes(D.pages(t.documents))
+    return s.groupBy("doc_id", "page_no").agg(F.count_if("is_note").alias("notes"), F.count_if(~F.col("is_note")).alias("body"))
 
 
 @query("gutter_split", "O096", """
@@ -68,7 +67,5 @@ free AS (SELECT x.l_suppkey, x.x FROM x LEFT JOIN hit ON x.l_suppkey = hit.l_sup
 SELECT l_suppkey, count(*) AS free, min(x) AS first_free FROM free GROUP BY l_suppkey""")
 def gutter_split(t):
     """Positions in the middle that nothing covers, by an anti-join on positions."""
-    li = t.lineitem
-    x = li.select("l_suppkey").distinct().select("l_suppkey", F.explode(F.sequence(F.lit(15).cast("long"), F.lit(35).cast("long"))).alias("x"))
-    hit = li.filter("l_discount = 0.05").select("l_suppkey", F.floor("l_quantity").alias("x")).distinct()
-    return x.join(hit, ["l_suppkey", "x"], "left_anti").groupBy("l_suppkey").agg(F.count("*").alias("free"), F.min("x").alias("first_free"))
+    covered = t.lineitem.select("l_suppkey", F.when(F.col("l_discount") == 0.05, F.floor("l_quantity")).alias("x"))
+    return D.free_positions(covered, ["l_suppkey"], "x", 15, 35)

@@ -6,7 +6,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quiremill.functions.text import fold_key
 from quiremill.plans.registry import query
+from quiremill.plans.text_queries import fold_sql
 from quiremill.sinks.books import check_epub, render
 from quiremill.sources import files
 
@@ -15,7 +17,7 @@ def _parts(t):
     return t.conversations.select(F.col("conv_id").alias("job_id"), F.col("turn").alias("idx"), F.concat(F.lit("Conversation "), "conv_id").alias("title"), "text")
 
 
-@query("book_round_trip", "O001, O002, O003, O004, O016, O025", r"""
+@query("book_round_trip", "O001, O003, O025", r"""
 WITH l AS (SELECT conv_id, unnest(string_split(text, chr(10))) AS line FROM conversations)
 SELECT conv_id AS job_id, count(*) AS paras, sum(length(regexp_replace(line, '[ \t]+', '', 'g')))::BIGINT AS chars FROM l WHERE regexp_matches(line, '\S') GROUP BY conv_id""")
 def book_round_trip(t):
@@ -25,6 +27,30 @@ def book_round_trip(t):
     return items.groupBy(F.col("path").cast("long").alias("job_id")).agg(F.count("*").alias("paras"), F.sum(F.length(F.regexp_replace("text", " +", ""))).alias("chars"))
 
 
+def _read_back(t, ext: str):
+    made = render(_parts(t), (ext,)).select(F.col("job_id").cast("string").alias("path"), F.col("format").alias("ext"), F.col("bytes").alias("content"))
+    return files.parse_files(made)
+
+
+@query("epub_round_trip", "O004", r"""
+WITH l AS (SELECT conv_id, unnest(string_split(text, chr(10))) AS line FROM conversations)
+SELECT conv_id AS job_id, count(*) AS paras, sum(length(regexp_replace(line, '\s+', '', 'g')))::BIGINT AS chars FROM l WHERE regexp_matches(line, '\S') GROUP BY conv_id""")
+def epub_round_trip(t):
+    """Conversations written as EPUB and read back from the packed file: every non-empty line is a block again, a part's first perhaps a heading."""
+    items = _read_back(t, "epub")
+    return items.groupBy(F.col("path").cast("long").alias("job_id")).agg(F.count("*").alias("paras"), F.sum(F.length(F.regexp_replace("text", " +", ""))).alias("chars"))
+
+
+@query("txt_round_trip", "O002", r"""
+WITH p AS (SELECT conv_id, unnest(string_split_regex(text, '\n\s*\n')) AS para FROM conversations),
+k AS (SELECT conv_id, trim(regexp_replace(para, '\s+', ' ', 'g'), ' ') AS para FROM p)
+SELECT conv_id AS job_id, count(*) AS paras, sum(length(replace(para, ' ', '')))::BIGINT AS chars FROM k WHERE para <> '' AND NOT regexp_full_match(para, '[-–\s]*\d{1,4}[-–\s]*') GROUP BY conv_id""")
+def txt_round_trip(t):
+    """Conversations written as plain text and read back: paragraphs are what stands between blank lines; numbers alone go."""
+    items = _read_back(t, "txt").filter(F.col("text") != F.concat(F.lit("Conversation "), "path"))
+    return items.groupBy(F.col("path").cast("long").alias("job_id")).agg(F.count("*").alias("paras"), F.sum(F.length(F.regexp_replace("text", " +", ""))).alias("chars"))
+
+
 @query("epub_check", "O018, O022", "SELECT DISTINCT conv_id AS job_id, 0::BIGINT AS faults FROM conversations")
 def epub_check(t):
     """Faults that the structure check finds in the EPUB of each conversation."""
@@ -67,10 +93,14 @@ def state_upsert(t):
     return files.upsert(old, new, ["c_custkey"])
 
 
-@query("catalogue_fold_search", "O012, O028, O070, O103")
+_KEY = fold_sql("p_name || ' ' || p_type")
+
+
+@query("catalogue_fold_search", "O012, O028, O070, O103", f"""
+WITH k AS (SELECT p_partkey AS id, p_size::BIGINT AS tok_length, {_KEY} AS key FROM part)
+SELECT id, tok_length FROM k WHERE contains(key, 'acunumi') AND contains(key, 'ring')
+ORDER BY contains(key, ' acunumi ')::INT + contains(key, ' ring ')::INT DESC, least(coalesce(tok_length, 0), 2000000) DESC, id LIMIT 200""")
 def catalogue_fold_search(t):
     """A catalogue of parts by folded key: spelling variants of the query find the same rows."""
-    from quiremill.functions.text import fold_key
-
     rows = t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("tok_length"), fold_key(F.concat_ws(" ", "p_name", "p_type")).alias("key"))
     return files.search_catalogue(rows, "Economi Ring").select("id", "tok_length")

@@ -85,7 +85,7 @@ def title_case_names(t):
     return t.customer.select("c_custkey", text.title_case(name).alias("name"))
 
 
-def _fold_sql(c: str) -> str:
+def fold_sql(c: str) -> str:
     quoted = lambda x: x.replace("'", "''")
     s = f"replace(lower(replace({c}, 'İ', 'i')), '-', ' ')"
     for a, b in text.FOLD_PAIRS:
@@ -98,7 +98,7 @@ def _fold_sql(c: str) -> str:
     return f"' ' || trim(regexp_replace(translate({s}, '{text.FOLD_FROM}', '{text.FOLD_TO}'), '[^a-z0-9]+', ' ', 'g'), ' ') || ' '"
 
 
-@query("fold_key", "O028", f"SELECT p_partkey, {_fold_sql('p_name')} AS k, {_fold_sql('p_type')} AS k2 FROM part")
+@query("fold_key", "O028", f"SELECT p_partkey, {fold_sql('p_name')} AS k, {fold_sql('p_type')} AS k2 FROM part")
 def fold_key(t):
     return t.part.select("p_partkey", text.fold_key(F.col("p_name")).alias("k"), text.fold_key(F.col("p_type")).alias("k2"))
 

@@ -153,3 +153,73 @@ def test_ranks_and_medians_by_buckets(spark):
         mine = sorted((v, i) for j, i, v in data if j == k)
         assert [got[i] for _, i in mine] == list(range(1, len(mine) + 1))
         assert pairs[k] == (mine[(len(mine) - 1) // 2][0], mine[len(mine) // 2][0])
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_fuzzy_match_equals_all_pairs(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(0, 9)))
+    left, right = [(rng.randint(0, 1), word()) for _ in range(80)] + [(0, None)], [(rng.randint(0, 1), word()) for _ in range(80)] + [(1, None)]
+    for most in (0, 1, 2, 3):
+        got = R.fuzzy_match(spark.createDataFrame(left, "k long, a string"), spark.createDataFrame(right, "k long, b string"), ["k"], "a", "b", most)
+        want = {}
+        for k, a in left:
+            near = sorted((levenshtein(a, b), b) for j, b in right if j == k and a is not None and b is not None)
+            if near and near[0][0] <= most:
+                want[(k, a)] = near[0]
+        assert {(r.k, r.a): (r.distance, r.b) for r in got.collect()} == want
+
+
+def test_repair_in_document_equals_loop(spark):
+    rng = random.Random(8)
+    pairs = (("rn", "m"), ("h", "b"), ("h", "li"), ("ii", "ü"))
+    known = ["bat", "mat", "bim", "libat", "modern", "üzüm", "hih", "bib"]
+    data = {}
+    for d in range(12):
+        for w in rng.choices(known + ["hat", "rnat", "hirn", "hihat", "iizüm", "hib", "mdii", "xiv"], k=25):
+            data[(d, w)] = data.get((d, w), 0) + 1
+    words = spark.createDataFrame([(d, w, n) for (d, w), n in data.items()], "doc_id long, word string, n long")
+    lex = spark.createDataFrame([(w, 5) for w in known], "word string, n long")
+    got = {(r.doc_id, r.word): (r.fix, r.n) for r in links.repair_in_document(words, lex, pairs).collect()}
+    want = {}
+    for d, w in data:
+        if w in known or len(w) < 3 or re.fullmatch("[ivxlcdmı]+", w):
+            continue
+        made = {w[:i] + b + w[i + len(a) :] for a, b in pairs for i in range(len(w)) if w.startswith(a, i)}
+        found = sorted((-data[(d, c)], c) for c in made if c in known and data.get((d, c), 0) >= 2)
+        if found and (len(found) == 1 or -found[0][0] >= 3 * -found[1][0]):
+            want[(d, w)] = (found[0][1], -found[0][0])
+    assert got == want and want
+
+
+def test_divided_words(spark):
+    text = ["we were rea-", "ding of a well-", "known man who is lib-  ", "eral and", "went home-", "", "Then no-", "One"]
+    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(text)], "doc_id long, line_no long, line string")
+    lex = spark.createDataFrame([(w, 3) for w in ("reading", "well", "known", "home")], "word string, n long")
+    got = {(r.line_no, r.left, r.right, r.verdict) for r in links.divided_words(lines, lex).collect()}
+    assert got == {(0, "rea", "ding", "join"), (1, "well", "known", "keep"), (2, "lib", "eral", "join")}
+
+
+def test_links_sides_and_pages(spark):
+    refs = spark.createDataFrame([(1, 1, 9), (1, 1, 4), (2, 1, 5)], "page long, no long, pos long")
+    notes = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "page long, no long, note string")
+    assert {(r.note, r.ref.pos) for r in links.link_equi(refs, notes, ["page", "no"], ["pos"]).collect()} == {("a", 4), ("c", 5)}
+    pairs = spark.createDataFrame([("Author", "x"), ("Author", "y"), ("t", "Writer"), ("u", "Writer"), ("t", "Writer")], "a string, b string")
+    assert {(r.one, r.many) for r in links.sides(pairs, "a", "b").collect()} == {("x", "Author"), ("y", "Author"), ("t", "Writer"), ("u", "Writer")}
+    labels = spark.createDataFrame([(1, i, v) for i, v in enumerate([11, 12, 40, 14, 15])] + [(2, 0, 5)], "k long, at long, v long")
+    assert [(r.k, r.modal, r.n) for r in D.modal_offset(labels, ["k"], "at", "v").collect()] == [(1, 10, 4)]
+    series = spark.createDataFrame([(1, 5 * i) for i in range(9)] + [(2, 5 * i) for i in range(4)] + [(3, 100 * i) for i in range(9)], "k long, v long")
+    assert {r.k: r.series for r in D.series_gate(series, ["k"], "v", 1, 10).collect()} == {1: True, 2: False, 3: False}
+    lines = spark.createDataFrame([(1, 0, "7"), (1, 1, "99"), (1, 2, "in 1999")], "p long, i long, x string").withColumn("v", F.regexp_extract("x", r"(\d+)", 1).cast("int"))
+    sure = F.when(F.col("x").rlike(r"^\d+$"), 2).when(F.col("v") < 5000, 1)
+    assert [(r.sure, r.no) for r in D.page_number(lines, ["p"], ["i"], "v", sure).collect()] == [(2, 7)]
+    covered = spark.createDataFrame([(1, 3), (1, 4), (2, None)], "k long, x long")
+    assert {(r.k, r.free, r.first_free) for r in D.free_positions(covered, ["k"], "x", 3, 6).collect()} == {(1, 2, 5), (2, 4, 3)}
