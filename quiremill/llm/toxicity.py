@@ -151,32 +151,35 @@ def _g2(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
     return 2 * (part(toxic, n_toxic, p) + part(clean, n_clean, p) + part(q1, n_toxic, absent) + part(q0, n_clean, absent))
 
 
+def _document_terms(text: str | None) -> set[str]:
+    """The distinct terms of a text: a term counts once for a document, however many of its words share the prefix."""
+    words = set(_WORD.findall((text or "").lower()))
+    out = set(words)
+    for n in PREFIXES:
+        out |= {w[:n] + "-" for w in words if len(w) > n}
+    return out
+
+
 def _document_counts(batches):
     """term, toxic, clean, n: how many documents of each kind, and of all, hold each term; counted in tasks first."""
-    names = ["term", "toxic", "clean", "n"]
-    held: dict[str, list[int]] = {}
+    held, by_label = Counter(), {1: Counter(), 0: Counter()}
 
     def flush():
         terms = list(held)
         for at in range(0, len(terms), 50_000):
             part = terms[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([held[t][k] for t in part], pa.int64()) for k in range(3))], names=names)
+            counts = [pa.array([c[t] for t in part], pa.int64()) for c in (by_label[1], by_label[0], held)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *counts], names=["term", "toxic", "clean", "n"])
 
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            kind = (1, 0, 1) if label == 1 else (0, 1, 1) if label == 0 else (0, 0, 1)
-            # A term counts once for a document, however many of its words share the prefix.
-            for t in {t for word in set(_WORD.findall((text.as_py() or "").lower())) for t in word_terms(word)}:
-                got = held.get(t)
-                if got is None:
-                    held[t] = list(kind)
-                else:
-                    got[0] += kind[0]
-                    got[1] += kind[1]
-                    got[2] += 1
+            terms = _document_terms(text.as_py())
+            held.update(terms)
+            if label in by_label:
+                by_label[label].update(terms)
             if len(held) > COUNT_TERMS:
                 yield from flush()
-                held = {}
+                held, by_label = Counter(), {1: Counter(), 0: Counter()}
         release_memory()
     yield from flush()
 

@@ -478,6 +478,7 @@ def test_evidence_equals_dense_tf_idf(toxic):
     assert {"vileword", "nastything", "foulness"} <= set(known)
     examples = [int(x) for x in index.doc_ids]
     dense = np.array([vector(texts[d]) for d in examples])
+    assert all(toxicity._document_terms(t) == set(toxicity.text_terms(t)) for t in [None, "", *texts.values()])
     seen = 0
     for r in toxicity.score(docs, index).collect():
         s = np.sort(dense @ vector(r.text))[::-1]
