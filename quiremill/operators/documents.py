@@ -89,15 +89,34 @@ def repeated_edges(paged: DataFrame, share: float = 0.3, least: int = 3) -> Data
     return counted.join(of, "doc_id").filter(F.col("n") >= F.greatest(F.lit(least), F.floor(share * F.col("pages"))))
 
 
-def running_headers(paras: DataFrame, text: str, para: str) -> DataFrame:
-    """phrase, numbers, paras: capital phrases next to a number that are headers: at least 3 numbers, 3 paragraphs, and no
-    (phrase, number) over twice."""
-    found = paras.select("doc_id", para, F.explode(F.regexp_extract_all(text, F.lit(r"(\d{1,4} \p{Lu}\p{L}+)"), 1)).alias("m"))
-    split = found.select("doc_id", para, F.split("m", " ")[0].alias("number"), F.split("m", " ")[1].alias("phrase"))
-    by = split.groupBy("phrase", "number").agg(F.count("*").alias("n"))
-    per = by.groupBy("phrase").agg(F.count("*").alias("numbers"), F.max("n").alias("most"))
-    held = split.select("phrase", "doc_id", para).distinct().groupBy("phrase").agg(F.count("*").alias("paras"))
-    return per.join(held, "phrase").filter("numbers >= 3 AND paras >= 3 AND most <= 2").select("phrase", "numbers", "paras")
+#: A phrase in capitals, and it with a page number before or after it, in running text.
+CAPITALS = r"\p{Lu}[\p{Lu}'’\- ]{2,40}?\p{Lu}"
+NUMBER_FIRST = rf"(?:^|[^\p{{L}}\p{{N}}_])(\d{{1,4}}\s+{CAPITALS})(?:\s|$)"
+NUMBER_LAST = rf"(?:^|[^\p{{L}}\p{{N}}_])({CAPITALS}\s+\d{{1,4}})(?:[^\p{{L}}\p{{N}}_/.]|$)"
+
+
+def header_marks(paras: DataFrame, text: str = "line") -> DataFrame:
+    """paras with a row for each `mark` (number and phrase as they stand), its `number` and `phrase`."""
+    marks = F.concat(F.regexp_extract_all(text, F.lit(NUMBER_FIRST), 1), F.regexp_extract_all(text, F.lit(NUMBER_LAST), 1))
+    found = paras.withColumn("mark", F.explode(marks))
+    return found.withColumn("number", F.regexp_extract("mark", r"(\d+)", 1)).withColumn("phrase", F.regexp_replace("mark", r"^\d+\s+|\s+\d+$", ""))
+
+
+def running_headers(marks: DataFrame, para: str = "line_no") -> DataFrame:
+    """doc_id, phrase, numbers, paras: of header_marks, the phrases that are a document's running titles: with 3 numbers and in 3 paragraphs at
+    least, and with no number over twice (a bibliography's "IBLA 21" comes again and again)."""
+    per = marks.groupBy("doc_id", "phrase", "number").agg(F.count("*").alias("n")).groupBy("doc_id", "phrase").agg(F.count("*").alias("numbers"), F.max("n").alias("most"))
+    held = marks.select("doc_id", "phrase", para).distinct().groupBy("doc_id", "phrase").agg(F.count("*").alias("paras"))
+    return per.join(held, ["doc_id", "phrase"]).filter("numbers >= 3 AND paras >= 3 AND most <= 2").select("doc_id", "phrase", "numbers", "paras")
+
+
+def drop_running_headers(paras: DataFrame, para: str = "line_no", text: str = "line") -> DataFrame:
+    """paras whose text has lost the running titles of its document, with their numbers. (A word that a title has split is put together by merge_split_words.)"""
+    marks = header_marks(paras.select("doc_id", para, text), text)
+    mine = marks.join(running_headers(marks, para), ["doc_id", "phrase"], "left_semi").groupBy("doc_id", para).agg(F.array_sort(F.collect_set("mark")).alias("_marks"))
+    gone = F.aggregate("_marks", F.col(text), lambda a, m: F.replace(a, m, F.lit("")))
+    cut = F.when(F.col("_marks").isNull(), F.col(text)).otherwise(F.trim(F.regexp_replace(gone, " +", " ")))
+    return paras.join(mine, ["doc_id", para], "left").withColumn(text, cut).drop("_marks")
 
 
 def monotone(rows: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:

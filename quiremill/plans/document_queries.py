@@ -53,36 +53,35 @@ def repeated_edge_lines(t):
     return D.repeated_edges(D.pages(t.documents))
 
 
-_HEADED = """H AS (SELECT doc_id, 0 AS para, (doc_id % 9973)::VARCHAR || ' ' || upper(lang[1]) || lang[2:] || 'book ' || text AS text FROM documents),
-m AS (SELECT doc_id, para, unnest(regexp_extract_all(text, '\\d{1,4} \\p{Lu}\\p{L}+')) AS m FROM H),
-s AS (SELECT doc_id, para, m, string_split(m, ' ')[1] AS number, string_split(m, ' ')[2] AS phrase FROM m),
-b AS (SELECT phrase, number, count(*) AS n FROM s GROUP BY phrase, number), p AS (SELECT phrase, count(*) AS numbers, max(n) AS most FROM b GROUP BY phrase),
-h2 AS (SELECT phrase, count(DISTINCT (doc_id, para)) AS paras FROM s GROUP BY phrase),
-heads AS (SELECT p.phrase, numbers, paras FROM p JOIN h2 ON p.phrase = h2.phrase WHERE numbers >= 3 AND paras >= 3 AND most <= 2)"""
+_FIRST, _LAST = (p.replace("'", "''") for p in (D.NUMBER_FIRST, D.NUMBER_LAST))
+_HEADED = rf"""{LINES}, H AS (SELECT doc_id, line_no, CASE WHEN line_no % 4 = 1 THEN (line_no + 10)::VARCHAR || ' THE ' || upper(lang) || ' READER ' || line
+  WHEN line_no % 4 = 3 THEN line || ' THE ' || upper(lang) || ' READER ' || (line_no + 10)::VARCHAR ELSE line END AS line FROM L JOIN documents USING (doc_id)),
+m AS (SELECT doc_id, line_no, unnest(list_concat(regexp_extract_all(line, '{_FIRST}', 1), regexp_extract_all(line, '{_LAST}', 1))) AS mark FROM H),
+s AS (SELECT *, regexp_extract(mark, '(\d+)', 1) AS number, regexp_replace(mark, '^\d+\s+|\s+\d+$', '', 'g') AS phrase FROM m),
+b AS (SELECT doc_id, phrase, number, count(*) AS n FROM s GROUP BY ALL), p AS (SELECT doc_id, phrase, count(*) AS numbers, max(n) AS most FROM b GROUP BY ALL),
+h2 AS (SELECT doc_id, phrase, count(DISTINCT line_no) AS paras FROM s GROUP BY ALL),
+heads AS (SELECT doc_id, phrase, numbers, paras FROM p JOIN h2 USING (doc_id, phrase) WHERE numbers >= 3 AND paras >= 3 AND most <= 2)"""
 
 
 def _headed(t):
-    """Documents as paragraphs that a page number and a running title have got into."""
-    title = F.concat((F.col("doc_id") % 9973).cast("string"), F.lit(" "), F.initcap("lang"), F.lit("book "), "text")
-    return t.documents.select("doc_id", F.lit(0).alias("para"), title.alias("text"))
+    """Lines of the documents, some of which a page number and a running title have got into, before or after the text."""
+    ls = D.lines(t.documents).join(t.documents.select("doc_id", "lang"), "doc_id")
+    no, title = (F.col("line_no") + 10).cast("string"), F.concat(F.lit("THE "), F.upper("lang"), F.lit(" READER"))
+    line = F.when(F.col("line_no") % 4 == 1, F.concat_ws(" ", no, title, "line")).when(F.col("line_no") % 4 == 3, F.concat_ws(" ", "line", title, no)).otherwise(F.col("line"))
+    return ls.select("doc_id", "line_no", line.alias("line"))
 
 
-@query("running_headers", "O077", f"WITH {_HEADED} SELECT phrase, numbers, paras FROM heads")
+@query("running_headers", "O077", f"WITH {_HEADED} SELECT doc_id, phrase, numbers, paras FROM heads")
 def running_headers(t):
-    return D.running_headers(_headed(t), "text", "para")
+    return D.running_headers(D.header_marks(_headed(t)))
 
 
 @query("inline_header_removal", "O045", f"""
-WITH {_HEADED}, c AS (SELECT s.doc_id, list_sort(list(DISTINCT s.m)) AS ms FROM s JOIN heads ON s.phrase = heads.phrase GROUP BY s.doc_id)
-SELECT c.doc_id, md5(trim(regexp_replace(list_reduce(list_prepend(H.text, ms), lambda a, x: replace(a, x, '')), ' +', ' ', 'g'), ' ')) AS digest FROM c JOIN H ON c.doc_id = H.doc_id""")
+WITH {_HEADED}, c AS (SELECT s.doc_id, s.line_no, list_sort(list(DISTINCT s.mark)) AS ms FROM s JOIN heads USING (doc_id, phrase) GROUP BY ALL)
+SELECT H.doc_id, H.line_no, md5(CASE WHEN ms IS NULL THEN H.line ELSE trim(regexp_replace(list_reduce(list_prepend(H.line, ms), lambda a, x: replace(a, x, '')), ' +', ' ', 'g'), ' ') END) AS digest FROM H LEFT JOIN c ON c.doc_id = H.doc_id AND c.line_no = H.line_no""")
 def inline_header_removal(t):
-    """Running titles leave the text with their numbers: each document's own marks, in one fold."""
-    ps = _headed(t)
-    heads = D.running_headers(ps, "text", "para").select("phrase")
-    found = ps.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(\d{1,4} \p{Lu}\p{L}+)"), 1)).alias("m"))
-    ms = found.withColumn("phrase", F.split("m", " ")[1]).join(heads, "phrase").groupBy("doc_id").agg(F.array_sort(F.collect_set("m")).alias("ms"))
-    gone = F.aggregate("ms", F.col("text"), lambda a, m: F.replace(a, m, F.lit("")))
-    return ps.join(ms, "doc_id").select("doc_id", F.md5(F.trim(F.regexp_replace(gone, " +", " "))).alias("digest"))
+    """Running titles leave the text with their numbers."""
+    return D.drop_running_headers(_headed(t)).select("doc_id", "line_no", F.md5("line").alias("digest"))
 
 
 @query("short_line_repeats", "O053", f"""

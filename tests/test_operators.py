@@ -49,9 +49,15 @@ def test_pack_equals_loop(spark):
 
 
 def test_running_headers(spark):
-    lines = [(1, i, f"text {10 + i} Chapter goes on") for i in range(3)] + [(1, 9, "in 1999 Paris and 1999 Paris and 1999 Paris")]
-    got = D.running_headers(spark.createDataFrame(lines, "doc_id long, line_no long, line string"), "line", "line_no").collect()
-    assert [tuple(r) for r in got] == [("Chapter", 3, 3)]
+    lines = [(1, i, f"{10 + i} ROADBOOK and the text goes on") for i in range(3)] + [(1, 5, "so it went ROADBOOK 15")]
+    lines += [(1, 7 + i, "as IBLA 21 and IBLA 22 and IBLA 21 have it") for i in range(3)] + [(1, 20, "He met NASA in 1999"), (2, 0, "12 ROADBOOK of another book")]
+    paras = spark.createDataFrame(lines, "doc_id long, line_no long, line string")
+    marks = D.header_marks(paras)
+    assert {(r.number, r.phrase) for r in marks.collect() if r.doc_id == 2} == {("12", "ROADBOOK")}
+    assert [tuple(r) for r in D.running_headers(marks).collect()] == [(1, "ROADBOOK", 4, 4)]
+    got = {(r.doc_id, r.line_no): r.line for r in D.drop_running_headers(paras).collect()}
+    want = {(d, i): x for d, i, x in lines} | {(1, i): "and the text goes on" for i in range(3)} | {(1, 5): "so it went"}
+    assert got == want
 
 
 def test_repeated_edges(spark):
