@@ -5,9 +5,10 @@
    DEPTH values of an order form a region; in each region the order's neighbours (those with
    the longest common prefix) and the region's first class become candidates.
 3. Candidates with similar signatures join groups. Regions that still hold several groups are compared: in full where
-   they have at most REGION_ROWS classes; else the region is a forest of its own, whose ORDERS orders of the signature are cut
-   deeper, each as deep as it takes until REGION_ROWS classes or fewer are left. Classes that share all values that may be
-   cut by are compared in full, in blocks. So work grows with the rows of a region, not with their square.
+   they have at most REGION_ROWS classes, or so few outside their largest group, which then meet every piece of it. Any other
+   region is a forest of its own, whose ORDERS orders of the signature are cut deeper, each as deep as it takes until REGION_ROWS
+   classes or fewer are left. Classes that share all values that may be cut by are compared in full, in blocks. So work
+   grows with the rows of a region, not with their square.
 4. Links are confirmed on full sets within each group; groups larger than a task's memory
    are split into blocks which are compared with each other.
 
@@ -239,16 +240,20 @@ def similar_groups(classes: DataFrame) -> DataFrame:
 
     # Regions that still hold several groups: compare their rows in full, or cut them deeper first.
     named = held.join(first.hint("merge"), held["class_id"] == first["node"], "left").select("class_id", "h1", "h2", "region_rows", F.coalesce("root", "class_id").alias("root"))
-    mixed = named.groupBy("h1", "h2").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi").withColumn("is_mixed", F.lit(1))
-    mixed = materialize(mixed.select("h1", "h2", "n", "is_mixed"), "mixed_regions")
-    open_rows = attach_by_hash(named, mixed, F.xxhash64("class_id", "h2", "h1"), "is_mixed", "n").filter("is_mixed = 1").select("class_id", "h1", "h2", "region_rows", "root")
-    large = mixed.filter(F.col("n") > REGION_ROWS)
+    by_group = named.groupBy("h1", "h2", "root").agg(F.count("*").alias("k"))
+    mixed = by_group.groupBy("h1", "h2").agg(F.count("*").alias("groups"), F.sum("k").alias("n"), F.max(F.struct("k", "root")).alias("main")).filter("groups > 1")
+    mixed = materialize(mixed.select("h1", "h2", "n", F.struct(F.col("main.root").alias("root"), (F.col("n") - F.col("main.k")).alias("others")).alias("main")), "mixed_regions")
+    open_rows = attach_by_hash(named, mixed, F.xxhash64("class_id", "h2", "h1"), "main", "n").filter("main IS NOT NULL").select("class_id", "h1", "h2", "region_rows", "root", "main")
+    large = mixed.filter(F.col("main.others") > REGION_ROWS)
+    # A region's largest group is dealt over the pieces; the others, few, meet every piece.
+    few = open_rows.filter((F.col("region_rows") <= REGION_ROWS) | (F.col("main.others") <= REGION_ROWS))
+    piece = F.pmod(F.xxhash64("class_id"), pieces)
+    cells = few.withColumn("i", F.explode(F.when(F.col("root") == F.col("main.root"), F.array(piece)).otherwise(F.sequence(F.lit(0).cast("long"), pieces - 1))))
+    dealt = cells.select("h1", "h2", "i", F.col("i").alias("j"), "class_id", "root")
     if large.limit(1).count():
-        open_rows = materialize(open_rows, "open_regions")
-        open_rows = open_rows.filter(F.col("region_rows") <= REGION_ROWS).unionByName(_cut_deeper(open_rows.filter(F.col("region_rows") > REGION_ROWS), classes))
-    block = F.pmod(F.xxhash64("class_id"), pieces)
-    others = F.transform(F.sequence(F.lit(0).cast("long"), pieces - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
-    dealt = open_rows.withColumn("block", block).withColumn("cell", F.explode(others)).select("h1", "h2", "cell.i", "cell.j", "class_id", "root")
+        deeper = _cut_deeper(open_rows.filter((F.col("region_rows") > REGION_ROWS) & (F.col("main.others") > REGION_ROWS)), classes)
+        others = F.transform(F.sequence(F.lit(0).cast("long"), pieces - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
+        dealt = dealt.unionByName(deeper.withColumn("block", piece).withColumn("cell", F.explode(others)).select("h1", "h2", "cell.i", "cell.j", "class_id", "root"))
     dealt = dealt.join(classes.select("class_id", "sig").hint("merge"), "class_id")
     more = materialize(dealt.groupBy("h1", "h2", "i", "j").applyInArrow(_compare_region, "a long, b long"), "similar_pairs_2")
     stars = first.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
@@ -261,11 +266,11 @@ def _cut_deeper(rows: DataFrame, classes: DataFrame) -> DataFrame:
     Each row enters ORDERS orders, which start at places spread over the signature and in each of which rows that share STEP more values stay together, until
     REGION_ROWS or fewer do. A region of one group is done. What MAX_CUT values can't part is left as large as it is.
     """
+    signed = rows.join(classes.select("class_id", F.concat("sig", "sig").alias("sigs")).hint("merge"), "class_id")
     order = F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("order")
     start = F.pmod(F.col("top2") * DEPTH + DEPTH + F.col("order") * (HASHES // ORDERS), F.lit(HASHES))
-    open_rows = rows.select("class_id", F.col("h1").alias("top1"), F.col("h2").alias("top2"), "root", order).withColumn("start", start)
-    signed = classes.select("class_id", F.concat("sig", "sig").alias("sigs"))
-    open_rows = materialize(open_rows.join(signed.hint("merge"), "class_id").withColumn("sigs", F.substr("sigs", (F.col("start") * 2 + 1).cast("int"), F.lit(2 * MAX_CUT))), "open_orders")
+    open_rows = signed.select("class_id", F.col("h1").alias("top1"), F.col("h2").alias("top2"), "root", "sigs", order)
+    open_rows = materialize(open_rows.withColumn("sigs", F.substr("sigs", (start * 2 + 1).cast("int"), F.lit(2 * MAX_CUT))), "open_orders")
     done = None
     for depth in range(STEP, MAX_CUT + 1, STEP):
         prefix = F.substring("sigs", 1, 2 * depth)
