@@ -39,8 +39,8 @@ COUNT_TERMS = 300_000
 PREFIXES = (4, 5)
 BLOCK = 64
 NEIGHBOURS = 12
-#: A table of so many labels (under 20 MB) is broadcast; a larger one is joined by shuffle.
-BROADCAST_LABELS = 1_000_000
+#: A table of so many labels (under 10 MB) is broadcast; a larger one is joined by shuffle.
+BROADCAST_LABELS = 300_000
 #: Weight of the prior in a vote.
 PRIOR_WEIGHT = 3.0
 
@@ -221,7 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: tuple[int, int] = FIT_ROWS
     # Copies of a labelled text count once for its label, or else the words of one often copied text would tell.
     few_labels = sum(sizes.values()) <= BROADCAST_LABELS
     beside = F.broadcast(marked) if few_labels else marked.hint("merge")
-    heads = texts.join(beside, "doc_id").groupBy("label", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", "label")
+    hashed = texts.select("doc_id", F.xxhash64("text").alias("h"))
+    heads = hashed.join(beside, "doc_id").groupBy("label", "h").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "label")
     heads = materialize(heads, "distinct_labelled")
     counted = texts.join(F.broadcast(heads) if few_labels else heads.hint("merge"), "doc_id", "left").select("label", "text")
     df = counted.mapInArrow(_document_counts, "term string, toxic long, clean long, n long").groupBy("term").agg(*(F.sum(x).alias(x) for x in ("toxic", "clean", "n")))
