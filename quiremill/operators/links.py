@@ -179,15 +179,30 @@ def repair_by_skeleton(words: DataFrame, lexicon: DataFrame, skeleton) -> DataFr
     return bad.join(best, "skeleton").select("word", F.col("b.fix").alias("fix"), (-F.col("b.k")).alias("n"))
 
 
-def merge_split_words(lines: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """doc_id, line_no, pos, joined: neighbours of which one is no word while both together are one."""
+def merge_split_words(lines: DataFrame, lexicon: DataFrame, most: int = 3) -> DataFrame:
+    """doc_id, line_no, pos, parts, joined: two to `most` neighbours that are one word together while one of them at least is none.
+
+    Where the first two parts are a word already, three are not tried. Tokens meet the lexicon by equality; a line's tokens are one window.
+    """
     toks = lines.select("doc_id", "line_no", F.posexplode(F.regexp_extract_all(F.lower("line"), F.lit(r"(\p{L}+)"), 1)).alias("pos", "word"))
-    nxt = toks.withColumn("next", F.lead("word").over(Window.partitionBy("doc_id", "line_no").orderBy("pos"))).filter("next IS NOT NULL")
     lex = lexicon.select("word")
-    joined = nxt.withColumn("joined", F.concat("word", "next")).join(lex.withColumnRenamed("word", "joined"), "joined", "left_semi")
     known = lambda name: lex.select(F.col("word").alias(name), F.lit(True).alias(f"{name}_ok"))
-    both = joined.join(known("word"), "word", "left").join(known("next"), "next", "left")
-    return both.filter("word_ok IS NULL OR next_ok IS NULL").select("doc_id", "line_no", F.col("pos").cast("long").alias("pos"), "joined")
+    toks = toks.join(known("word"), "word", "left").withColumn("ok", F.coalesce("word_ok", F.lit(False)))
+    ahead = F.collect_list(F.struct("word", "ok")).over(Window.partitionBy("doc_id", "line_no").orderBy("pos").rowsBetween(0, most - 1))
+    sizes = F.filter(F.sequence(F.lit(2), F.lit(most)), lambda n: n <= F.size("ahead"))
+    tried = toks.select("doc_id", "line_no", "pos", ahead.alias("ahead")).withColumn("parts", F.explode(sizes))
+    tried = tried.withColumn("some", F.slice("ahead", F.lit(1), F.col("parts"))).filter(F.exists("some", lambda x: ~x["ok"]))
+    tried = tried.select("doc_id", "line_no", F.col("pos").cast("long").alias("pos"), F.col("parts").cast("long").alias("parts"), F.array_join(F.transform("some", lambda x: x["word"]), "").alias("joined"))
+    found = tried.join(lex.withColumnRenamed("word", "joined"), "joined", "left_semi")
+    best = found.groupBy("doc_id", "line_no", "pos").agg(F.min(F.struct("parts", "joined")).alias("b"))
+    return best.select("doc_id", "line_no", "pos", "b.parts", "b.joined")
+
+
+def join_spaced(lines: DataFrame, lexicon: DataFrame, least: int = 4) -> DataFrame:
+    """doc_id, line_no, run, joined: `least` or more single letters with spaces between ("k i t a p") that are a word of the lexicon together."""
+    run = F.regexp_extract_all("line", F.lit(rf"(?:^|[^\p{{L}}\p{{N}}])((?:\p{{L}} ){{{least - 1},}}\p{{L}})(?:[^\p{{L}}\p{{N}}]|$)"), 1)
+    found = lines.select("doc_id", "line_no", F.explode(run).alias("run")).withColumn("joined", F.lower(F.replace("run", F.lit(" "), F.lit(""))))
+    return found.join(lexicon.select(F.col("word").alias("joined")), "joined", "left_semi").select("doc_id", "line_no", "run", "joined")
 
 
 def segment_words(s: str, known: set[str], longest: int = 20) -> list[str] | None:

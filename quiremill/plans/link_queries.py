@@ -282,14 +282,28 @@ def spelling_guard(t):
 
 
 @query("split_word_merge", "O034", f"""
-WITH {LINES}, {WORDS}, lex AS (SELECT word FROM W GROUP BY word HAVING count(DISTINCT doc_id) >= 3),
+WITH {LINES}, {WORDS}, lex AS MATERIALIZED (SELECT word FROM W GROUP BY word HAVING count(DISTINCT doc_id) >= 3),
 k0 AS (SELECT doc_id, line_no, regexp_extract_all(lower(line), '\\p{{L}}+') AS ws FROM L), k AS (SELECT doc_id, line_no, unnest(range(len(ws))) AS pos, unnest(ws) AS word FROM k0),
-n AS (SELECT *, lead(word) OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS nxt FROM k)
-SELECT n.doc_id, n.line_no, n.pos, n.word || nxt AS joined FROM n JOIN lex j ON j.word = n.word || nxt LEFT JOIN lex a ON a.word = n.word LEFT JOIN lex b ON b.word = nxt WHERE a.word IS NULL OR b.word IS NULL""")
+o AS (SELECT k.*, lex.word IS NOT NULL AS ok FROM k LEFT JOIN lex ON lex.word = k.word),
+n AS (SELECT *, lead(word) OVER v AS w2, lead(ok) OVER v AS o2, lead(word, 2) OVER v AS w3, lead(ok, 2) OVER v AS o3 FROM o WINDOW v AS (PARTITION BY doc_id, line_no ORDER BY pos)),
+t AS (SELECT doc_id, line_no, pos, 2 AS parts, word || w2 AS joined FROM n WHERE w2 IS NOT NULL AND NOT (ok AND o2)
+  UNION ALL SELECT doc_id, line_no, pos, 3, word || w2 || w3 FROM n WHERE w3 IS NOT NULL AND NOT (ok AND o2 AND o3))
+SELECT doc_id, line_no, pos, min(parts)::BIGINT AS parts, arg_min(joined, parts) AS joined FROM t SEMI JOIN lex ON lex.word = t.joined GROUP BY doc_id, line_no, pos""")
 def split_word_merge(t):
     return links.merge_split_words(D.lines(t.documents), D.lexicon(t.documents))
 
 
+@query("spaced_words", "O034", rf"""
+WITH {LINES}, {WORDS}, lex AS MATERIALIZED (SELECT word FROM W GROUP BY word HAVING count(DISTINCT doc_id) >= 3),
+s AS (SELECT doc_id, line_no, regexp_replace(line, '(^| )(\p{{L}})(\p{{L}})(\p{{L}})(\p{{L}})( |$)', '\1\2 \3 \4 \5\6', 'g') AS line FROM L),
+r AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '(?:^|[^\p{{L}}\p{{N}}])((?:\p{{L}} ){{3,}}\p{{L}})(?:[^\p{{L}}\p{{N}}]|$)', 1)) AS run FROM s)
+SELECT doc_id, line_no, run, lower(replace(run, ' ', '')) AS joined FROM r WHERE lower(replace(run, ' ', '')) IN (SELECT word FROM lex)""")
+def spaced_words(t):
+    """Words set with spaces between their letters; here, those of four letters are set so first."""
+    spaced = F.regexp_replace("line", r"(^| )(\p{L})(\p{L})(\p{L})(\p{L})( |$)", "$1$2 $3 $4 $5$6")
+    return links.join_spaced(D.lines(t.documents).select("doc_id", "line_no", spaced.alias("line")), D.lexicon(t.documents))
+
+
 @query("word_candidates", "O058", f"""
 WITH {WORDS}, c AS (SELECT word, count(*) AS n FROM W GROUP BY word), lex AS (SELECT word FROM W GROUP BY word HAVING count(DISTINCT doc_id) >= 3)
 SELECT word, n FROM c WHERE n <= 3 AND length(word) >= 3 AND word NOT IN (SELECT word FROM lex)""")

@@ -106,6 +106,9 @@ def test_repairs(spark):
     assert got == {("rnodem", "modem", 9)}
     lines = spark.createDataFrame([(1, 0, "he was rea ding the house")], "doc_id long, line_no long, line string")
     assert [(r.pos, r.joined) for r in links.merge_split_words(lines, lex).collect()] == [(2, "reading")]
+    lines = spark.createDataFrame([(1, 0, "a re ad ing lamp, t h e h o u s e"), (1, 1, "the h o u s e, C l o c k"), (1, 2, "the kind house")], "doc_id long, line_no long, line string")
+    assert [(r.line_no, r.pos, r.parts, r.joined) for r in links.merge_split_words(lines, lex, 3).collect()] == [(0, 1, 3, "reading"), (0, 5, 3, "the")]
+    assert sorted((r.line_no, r.run, r.joined) for r in links.join_spaced(lines, lex).collect()) == [(1, "C l o c k", "clock"), (1, "h o u s e", "house")]
     assert links.segment_words("thehouse", {"the", "house", "t"}) == ["the", "house"] and links.segment_words("zz", {"the"}) is None
 
 
@@ -229,3 +232,18 @@ def test_links_sides_and_pages(spark):
     assert [(r.sure, r.no) for r in D.page_number(lines, ["p"], ["i"], "v", sure).collect()] == [(2, 7)]
     covered = spark.createDataFrame([(1, 3), (1, 4), (2, None)], "k long, x long")
     assert {(r.k, r.free, r.first_free) for r in D.free_positions(covered, ["k"], "x", 3, 6).collect()} == {(1, 2, 5), (2, 4, 3)}
+
+
+def test_unspoken_regions_go_on(spark):
+    from quiremill.operators.audit import continue_unspoken
+
+    rows = [
+        (1, 0, "First part", None, 20, 20, 900, 0.0, 0.0), (1, 1, "Second Part", None, 20, 20, 900, 0.0, 0.0), (1, 2, "Notes", "notes", 9, 8, 90, 0.9, 0.0),
+        (1, 3, "SECOND PART:", None, 9, 8, 300, 0.0, 0.0), (1, 4, "More", None, 9, 8, 300, 0.25, 0.0), (1, 5, "Places", None, 9, 8, 60, 0.0, 0.6),
+        (1, 6, "Afterword", None, 30, 30, 2000, 0.0, 0.0), (1, 7, "Third part", None, 9, 8, 60, 0.3, 0.9), (1, 8, "Index", "index", 9, 8, 60, 0.0, 0.9),
+        (1, 9, "End", None, 2, 1, 40, 0.0, 0.0), (1, 10, "Sources", "sources", 9, 8, 60, 0.0, 0.0), (2, 0, None, None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, at long, title string, reason string, blocks long, paras long, words long, note_share double, entry_share double")
+    got = {(r.doc_id, r.at): r.why for r in continue_unspoken(df).collect()}
+    assert [got[(1, i)] for i in range(11)] == [None, None, "notes", "notes of a section before", "notes, continued", "list, continued", None, None, "index", "between", "sources"]
+    assert got[(2, 0)] is None and continue_unspoken(df.filter("false")).count() == 0
