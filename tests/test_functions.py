@@ -79,6 +79,19 @@ SAID = [
     ("It cost (25 lira) then.", "It cost (25 lira) then."),
     ("They (who had come from far beyond the 3 hills and rivers) slept.", "They (who had come from far beyond the 3 hills and rivers) slept."),
     ("Plain line.", "Plain line."),
+    ("He said so (Nûr, 35; Hadîd sûresi, 3) and left.", "He said so and left."),
+    ("A saying (Buhârî, Müslim) of note [12], (*).", "A saying of note."),
+    ("Here [Tâhâ, 14) the bracket broke.", "Here the bracket broke."),
+    ("They obeyed. Nisâ 4/59. Then they went.", "They obeyed. Then they went."),
+    ("Fear it. 7 Tirmizî, Zühd, 25, Birr, 8; Müslim, İmân, 31. And go on.", "Fear it. And go on."),
+    ("In part (as the author of the old book has it; bak., s. 127) it stays.", "In part (as the author of the old book has it) it stays."),
+    ("By page (M. 54) but the year (M. 1058) and (H. 505) stay.", "By page but the year (M. 1058) and (H. 505) stay."),
+    ("A work (Makâlât, II, 358) is cited, a death (öl. 950) is not.", "A work is cited, a death (öl. 950) is not."),
+    ("It was told:124 so it was.", "It was told: so it was."),
+    ("Ahmed came in 1950. Rum, 1453 was the year.", "Ahmed came in 1950. Rum, 1453 was the year."),
+    ("They won1 at last, said the A1mans.", "They won at last, said the Almans."),
+    ("It is so.[l6l] He was com-[i63j ing home 1395a again.", "It is so. He was coming home again."),
+    ("Allâh knows; 1.400 years, H1N1 and 16x19 cm stay.", "Allah knows; 1.400 years, H1N1 and 16x19 cm stay."),
     ("go go go go go home", "go home"),
     ("Name 12, 45, 67, 89, 101, 204", None),
     ("بسم الله الرحمن الرحيم وصلى الله", None),
