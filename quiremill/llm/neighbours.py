@@ -414,12 +414,12 @@ def search(rows: DataFrame, queries: DataFrame, router: Router | None, k: int =
     later = calls.filter(F.col("place") >= FIRST_VISITS).join(bounds, F.col("key") == F.col("_key"), "left").withColumn("bound", F.coalesce("_bound", far)).drop("_key", "_bound")
     found = materialize(_nearest(first.unionByName(visit(later)), n), "found")
     # Leaves that hold rows enough may hold fewer ids (ids of several vectors): such queries ask all leaves.
-    lists = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score"))).alias("near"))
+    near = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score"))).alias("near")
+    lists = found.groupBy("key").agg(near)
     short = heads.join(lists.select("key", F.size("near").alias("_n")), "key", "left").filter(F.coalesce("_n", F.lit(0)) < n)
-    if sum(sizes.values()) > n and len(sizes) > 1:
+    if sum(sizes.values()) > n and len(sizes) > 1 and short.limit(1).count():
         again = _nearest(visit(visits(short, True).withColumn("bound", far)), n)
-        found = found.join(short.select("key"), "key", "left_anti").unionByName(again)
-        lists = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score"))).alias("near"))
+        lists = found.join(short.select("key"), "key", "left_anti").unionByName(again).groupBy("key").agg(near)
     table = materialize(heads.select("h1", "h2", "key", "n").join(lists, "key").select("h1", "h2", "near", "n"), "found_lists")
     placed = attach_by_hash(asked.select(F.col("vec_id").alias("query_id"), "h1", "h2"), table, F.xxhash64("query_id"), "near", "n")
     others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)

@@ -34,6 +34,8 @@ def test_edges(spark, edge, folders, name):
     df = QUERIES[name](spark, folders["full"])
     types = dict(df.dtypes)
     assert {k: types[k] for k in COLUMNS.get(name, {})} == COLUMNS.get(name, {})
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     rows = df.count()
     if name == "op5_nearest":
         assert [(r.query_id, r.rank, r.vec_id, r.score) for r in df.orderBy("query_id").collect()] == [(0, 1, 20, 5.0), (20, 1, 0, 5.0)]
