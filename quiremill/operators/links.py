@@ -124,15 +124,17 @@ def repair_in_document(words: DataFrame, lexicon: DataFrame, pairs=CONFUSED, sho
     meets as a whole in one task.
     """
     known = lexicon.select("word")
-    bad = words.join(known, "word", "left_anti").filter((F.length("word") >= 3) | F.col("word").isin(*short))
-    bad = bad.filter(~F.col("word").rlike("^[ivxlcdmı]+$") | F.col("word").isin(*short)).select("doc_id", "word")
+    # What a word may be depends on the word alone: each distinct one is worked on once, and few candidates are words.
+    bad = words.select("word").distinct().join(known, "word", "left_anti").filter((F.length("word") >= 3) | F.col("word").isin(*short))
+    bad = bad.filter(~F.col("word").rlike("^[ivxlcdmı]+$") | F.col("word").isin(*short))
     table = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs))
     place = F.sequence(F.lit(1), F.length("word"))
-    made = bad.select("doc_id", "word", F.explode(table).alias("p")).filter(F.contains("word", F.col("p.a"))).withColumn("i", F.explode(place))
+    made = bad.select("word", F.explode(F.filter(table, lambda p: F.contains("word", p["a"]))).alias("p")).withColumn("i", F.explode(place))
     made = made.filter(F.substr("word", F.col("i"), F.length("p.a")) == F.col("p.a"))
     fix = F.concat(F.substr("word", F.lit(1), F.col("i") - 1), F.col("p.b"), F.substr("word", F.col("i") + F.length("p.a")))
-    made = made.select("doc_id", "word", fix.alias("fix")).filter("fix <> word").distinct()
-    used = words.filter(F.col("n") >= least).join(known, "word", "left_semi").select("doc_id", F.col("word").alias("fix"), "n")
+    made = made.select("word", fix.alias("fix")).filter("fix <> word").distinct().join(known.select(F.col("word").alias("fix")), "fix", "left_semi")
+    made = words.select("doc_id", "word").join(made, "word")
+    used = words.filter(F.col("n") >= least).select("doc_id", F.col("word").alias("fix"), "n")
     best = made.join(used, ["doc_id", "fix"]).groupBy("doc_id", "word").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "fix"))).alias("c"))
     first, second = F.col("c")[0], F.get("c", F.lit(1))
     return best.filter(second.isNull() | (-first["k"] >= ratio * -second["k"])).select("doc_id", "word", first["fix"].alias("fix"), (-first["k"]).alias("n"))
