@@ -90,6 +90,24 @@ def islands(rows: DataFrame, keys: list[str], at: str, gap: float, tie: list[str
     return rows.withColumn("_step", step).withColumn("island", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
 
 
+def missing_numbers(rows: DataFrame, keys: list[str], number: str, width: int = 16384) -> DataFrame:
+    """keys, missing and first_missing: how many whole numbers between the least and the largest of a series it lacks, and the least
+    of them. Series that lack none have no row; null keys are a series, null numbers belong to none.
+
+    Counted from the step to the next number, so a wide span costs no more rows than a narrow one. A series may hold any share of
+    all rows: only a block's rows (`width` numbers, with their repeats) are sorted together, and each block's ends meet the next block's.
+    """
+    marked = rows.select(*keys, F.col(number).alias("_no"), F.floor(F.col(number) / width).alias("_block")).filter("_no IS NOT NULL")
+    step = F.lead("_no").over(Window.partitionBy(*keys, "_block").orderBy("_no")) - F.col("_no") - 1
+    lack = marked.withColumn("_lack", F.when(step > 0, step))
+    lost = F.sum("_lack").alias("_in"), F.min(F.when(F.col("_lack") > 0, F.col("_no") + 1)).alias("_first")
+    inside = lack.groupBy(*keys, "_block").agg(F.min("_no").alias("_lo"), F.max("_no").alias("_hi"), *lost)
+    after = F.lead("_lo").over(Window.partitionBy(*keys).orderBy("_block")) - F.col("_hi") - 1
+    ends = inside.withColumn("_after", F.coalesce(after, F.lit(0)))
+    first = F.coalesce("_first", F.when(F.col("_after") > 0, F.col("_hi") + 1))
+    return ends.groupBy(*keys).agg(F.sum(F.coalesce("_in", F.lit(0)) + F.col("_after")).alias("missing"), F.min(first).alias("first_missing")).filter("missing > 0")
+
+
 def top_k(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).filter(F.col("rank") <= k)
 

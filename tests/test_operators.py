@@ -164,6 +164,21 @@ def test_ranks_and_medians_by_buckets(spark):
         assert pairs[k] == (mine[(len(mine) - 1) // 2][0], mine[len(mine) // 2][0])
 
 
+def test_missing_numbers_equals_loop(spark):
+    rng = random.Random(8)
+    data = [(rng.choice([None, 1, 2, 3]), rng.choice([None, rng.randint(-90, 90)])) for _ in range(150)] + [(4, x) for x in range(-20, 21)] + [(5, None), (6, 7), (7, 0), (7, 10**15)]
+    df = spark.createDataFrame(data, "k long, no long")
+    want = {(7, 10**15 - 1, 1)}
+    for k in (None, 1, 2, 3, 4, 5, 6):
+        held = {no for j, no in data if j == k and no is not None}
+        if lacking := [no for no in range(min(held), max(held)) if no not in held] if held else []:
+            want.add((k, len(lacking), lacking[0]))
+    assert len(want) == 5
+    for width in (1, 8, 1000):
+        got = [tuple(r) for r in R.missing_numbers(df, ["k"], "no", width).collect()]
+        assert len(got) == 5 and set(got) == want, width
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
